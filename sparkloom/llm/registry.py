@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op10_exact
+from . import op04_jaccard, op10_exact
 
 QUERIES = {
+    "op4_jaccard_join": op04_jaccard.op4_jaccard_join,
     "op10_exact_dedup": op10_exact.op10_exact_dedup,
 }
 SQL = {
