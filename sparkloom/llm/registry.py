@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op04_jaccard, op10_exact
+from . import op04_jaccard, op08_mixing, op09_toxicity, op10_exact
 
 QUERIES = {
     "op4_jaccard_join": op04_jaccard.op4_jaccard_join,
+    "op8_mixing": op08_mixing.op8_mixing,
+    "op9_toxicity": op09_toxicity.op9_toxicity,
     "op10_exact_dedup": op10_exact.op10_exact_dedup,
 }
 SQL = {
