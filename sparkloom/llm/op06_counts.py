@@ -47,7 +47,7 @@ def tokenizer_path(name: str) -> str:
 class Transducer:
     """A lazily determinised transducer from characters to token counts."""
 
-    def __init__(self, scores: dict[str, float], most_states: int = 1_500_000):
+    def __init__(self, scores: dict[str, float], most_states: int = 250_000):
         self.scores, self.most = scores, most_states
         self.longest = max(map(len, scores), default=1)
         self.prefixes = {p[:k] for p in scores for k in range(1, len(p))}
@@ -238,11 +238,21 @@ class Counter:
         return scan(out[which], rows)
 
 
+_COUNTERS: dict[str, Counter] = {}
+
+
+def counter_of(path: str) -> Counter:
+    """The worker's counter, with what it compiled and counted in earlier tasks."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = Counter(path)
+    return _COUNTERS[path]
+
+
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counter(path)
+        count = counter_of(path)
         for batch in batches:
             size, n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for a, b, data, off in pieces(batch.column(1)):
