@@ -26,6 +26,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -209,11 +210,12 @@ class Encoder:
         p = np.minimum(np.searchsorted(self.key, distinct), max(0, len(self.key) - 1))
         new = np.flatnonzero(self.key[p] != distinct) if len(self.key) else np.arange(len(distinct))
         if len(new):
-            words = [cps[s[i] : e[i]].tobytes().decode("utf-32-le") for i in first[new].tolist()]
+            text = cps.tobytes().decode("utf-32-le")
+            words = [text[a:b] for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist())]
             got = [x.ids for x in self.tok.encode_batch_fast(words, add_special_tokens=False)]
             n = np.array([len(x) for x in got])
             where = len(self.pool) + np.cumsum(n) - n
-            self.pool = np.concatenate([self.pool, np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))])
             key, where, count = np.concatenate([self.key, distinct[new]]), np.concatenate([self.where, where]), np.concatenate([self.count, n])
             order = np.argsort(key)
             self.key, self.where, self.count = key[order], where[order], count[order]
@@ -257,6 +259,16 @@ class Encoder:
         return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array([len(x) for x in out], np.int64)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, with what it remembers from earlier tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 # -- files ------------------------------------------------------------------------
 
 
@@ -284,7 +296,7 @@ def _write(uri: str, tokenizer: str, end: int, width: int):
         counts: list[np.ndarray] = []
         for batch in batches:
             if batch.num_rows and stream is None:
-                encode, stream = Encoder(tokenizer), fs.open_output_stream(attempt)
+                encode, stream = encoder_of(tokenizer), fs.open_output_stream(attempt)
             ids = batch.column(0).to_pylist()
             for a, b, data, off in pieces(batch.column(1)):
                 got, n = encode(data, off)
