@@ -227,14 +227,14 @@ class Mix:
     def taken(self) -> DataFrame:
         """(uid, words) that the mix takes of each document, repeats counted."""
         b = self.plan.block
-        times = self.slots.groupBy("sidx", "block", "words").agg(F.count(F.lit(1)).alias("times"))
+        times = self.slots.groupBy("sidx", "block", "words").agg(F.count(F.lit(1)).alias("times")).hint("merge")  # the planner takes the slots for a table of a few rows
         got = F.greatest(F.lit(0), F.least(F.col("high"), F.col("block") * b + F.col("words")) - F.col("low"))
         return self.blocks.join(times, ["sidx", "block"]).groupBy("uid").agg(F.sum(got * F.col("times")).alias("taken"))
 
     def pieces(self) -> DataFrame:
         """(uid, turn, parts): for each document and pass, the word ranges [from, to) within the document that are taken, in order."""
         b = self.plan.block
-        cut = self.blocks.join(self.slots.select("sidx", "turn", "block", "words"), ["sidx", "block"]).withColumn("to", F.least(F.col("high"), F.col("block") * b + F.col("words"))).filter("to > low")
+        cut = self.blocks.join(self.slots.select("sidx", "turn", "block", "words").hint("merge"), ["sidx", "block"]).withColumn("to", F.least(F.col("high"), F.col("block") * b + F.col("words"))).filter("to > low")
         return cut.groupBy("uid", "turn").agg(F.sort_array(F.collect_list(F.struct((F.col("low") - F.col("start")).alias("from"), (F.col("to") - F.col("start")).alias("to")))).alias("parts"))
 
 
