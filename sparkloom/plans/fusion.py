@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import language_family
@@ -39,12 +39,13 @@ def _fused(weights: dict[str, float], names: list[str]) -> str:
     return f"WITH {_CHANNELS}, f AS (SELECT id, sum(w / (60 + rank)) AS score, string_agg(channel || '=' || rank, ',' ORDER BY channel) AS channels FROM ({rows}) GROUP BY id)"
 
 
-_FLAT = F.concat_ws(",", F.transform(F.map_entries("channel_ranks"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+def _flat() -> Column:
+    return F.concat_ws(",", F.transform(F.map_entries("channel_ranks"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
 
 
 def _three(weights: dict[str, float]):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = R.fuse(channels(spark, d), weights, "id").select("id", F.round("score", 9).alias("score"), _FLAT.alias("channels"))
+        out = R.fuse(channels(spark, d), weights, "id").select("id", F.round("score", 9).alias("score"), _flat().alias("channels"))
         return out.orderBy(F.desc("score"), F.sha1(F.col("id").cast("string"))).limit(20)
 
     return run
