@@ -23,7 +23,7 @@ _FROM, _TO = "".join(a for a, _ in _ACCENTS), "".join(b for _, b in _ACCENTS)
 
 def fold_accents(c: Name) -> Column:
     """Latin letters without their accents (there is no built-in function)."""
-    return F.translate(col(c), _FROM, _TO)
+    return F.when(col(c).rlike("[\u00c0-\u024f]"), F.translate(col(c), _FROM, _TO)).otherwise(col(c))
 
 
 def index_tokens(c: Name) -> Column:

@@ -10,9 +10,9 @@ A term with ``_`` is a phrase: its parts next to each other in one column.  A te
 that is given twice counts twice.  Corpus statistics always cover the whole table;
 filters on rows come after them.
 
-A single query needs no index and no shuffle but that of one row of statistics: one
-scan counts, a second scores, and the top rows are taken from each partition first.
-Many queries at once go through postings restricted to the queries' terms.
+A single query needs no index and no shuffle: one scan counts terms, keeps the counts of
+matching rows (without texts) and observes the corpus statistics; the top rows are then
+taken from each partition first.  Many queries at once go through postings restricted to the queries' terms.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import index_tokens
+from sparkloom.functions.text import fold_accents, index_tokens
+from sparkloom.sources.tables import cut, spread
 
 K1, B = 1.2, 0.75
 #: Words that a query leaves out, beside those of one character.
@@ -41,12 +42,25 @@ def term_parts(term: str) -> list[str]:
     return [p for p in re.split(r"[^0-9a-z]+", term.lower()) if p]
 
 
-def _occurrences(tokens: Column, parts: list[str]) -> Column:
+def _line(text: str) -> Column:
+    """The tokens of a column, in order, with two spaces between."""
+    return F.trim(F.regexp_replace(fold_accents(F.lower(F.coalesce(F.col(text), F.lit("")))), r"[^\p{L}\p{N}]+", "  "))
+
+
+def _tokens(line: Column) -> Column:
+    return F.when(line == "", 0).otherwise(_times(line, "  ") + 1)
+
+
+def _times(text: Column, what: str) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)).cast("int")
+
+
+def _occurrences(line: Column, parts: list[str]) -> Column:
     """How often the parts follow one another; a phrase may overlap itself."""
-    if len(parts) == 1:
-        return F.size(F.filter(tokens, lambda t: t == parts[0]))
-    joined = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
-    return F.regexp_count(joined, F.lit(" (?=" + "  ".join(parts) + " )"))
+    inside = F.concat(F.lit(" "), line, F.lit(" "))
+    if any(parts[:k] == parts[-k:] for k in range(1, len(parts))):
+        return F.regexp_count(inside, F.lit(" (?=" + "  ".join(parts) + " )"))
+    return _times(inside, " " + "  ".join(parts) + " ")
 
 
 def idf(total: Column, holding: Column) -> Column:
@@ -58,34 +72,35 @@ def part(weight: Column, tf: Column, length: Column, average: Column) -> Column:
     return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def bm25(docs: DataFrame, query: str, key: str, fields: list[str], k: int | None = None, or_semantics: bool = False, where: Column | None = None, digits: int = 6, tie: list[str] | None = None) -> DataFrame:
-    """The rows that match (any term, or all), with ``score`` (higher is better); the best k of them, ties by ``tie`` and key."""
+def bm25(docs: DataFrame, query: str, key: str, fields: list[str], k: int | None = None, or_semantics: bool = False, where: Column | None = None, digits: int = 6, tie: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The rows that match (any term, or all): key, the ``keep`` columns and ``score`` (higher is better); the best k of them, ties by ``tie`` and key."""
+    out = list(dict.fromkeys([key, *(keep or []), *(tie or [])]))
     terms = [p for p in map(term_parts, query_terms(query)) if p]
     if not terms:
-        return docs.withColumn("score", F.lit(0.0)).limit(0)
+        return docs.select(*out).withColumn("score", F.lit(0.0)).limit(0)
     distinct = [list(t) for t in dict.fromkeys(map(tuple, terms))]
     times = [terms.count(t) for t in distinct]
-    toks = [index_tokens(f) for f in fields]
-    counted = docs.select("*", *(t.alias(f"_t{i}") for i, t in enumerate(toks)))
-    counted = counted.select(
-        *docs.columns,
-        reduce(lambda a, b: a + b, (F.size(f"_t{i}") for i in range(len(fields)))).alias("_len"),
-        *(reduce(lambda a, b: a + b, (_occurrences(F.col(f"_t{i}"), t) for i in range(len(fields)))).alias(f"_f{j}") for j, t in enumerate(distinct)),
-    )
-    stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.sum((F.col(f"_f{j}") > 0).cast("long")).alias(f"_n{j}") for j in range(len(distinct))))
+    passes = where if where is not None else F.lit(True)
+    lines = spread(docs).select(*out, passes.alias("_ok"), *(_line(f).alias(f"_t{i}") for i, f in enumerate(fields)))
+    add = lambda cs: reduce(lambda a, b: a + b, cs)
+    each = range(len(fields))
+    counted = lines.select(*out, "_ok", add(_tokens(F.col(f"_t{i}")) for i in each).alias("_len"), *(add(_occurrences(F.col(f"_t{i}"), t) for i in each).alias(f"_f{j}") for j, t in enumerate(distinct)))
+    # statistics are observed on the way to the matching rows, so texts are read once
+    seen = Observation()
+    watched = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_len"), F.lit(0)).alias("len"), *(F.coalesce(F.sum((F.col(f"_f{j}") > 0).cast("long")), F.lit(0)).alias(f"n{j}") for j in range(len(distinct))))
     hit = reduce(lambda a, b: (a | b) if or_semantics else (a & b), (F.col(f"_f{j}") > 0 for j in range(len(distinct))))
-    rows = counted.filter(hit)
-    if where is not None:
-        rows = rows.filter(where)
-    total = reduce(lambda a, b: a + b, (times[j] * part(idf(F.col("_n"), F.col(f"_n{j}")), F.col(f"_f{j}"), F.col("_len"), F.col("_avg")) for j in range(len(distinct))))
-    scored = rows.join(F.broadcast(stats)).select(*docs.columns, F.round(total, digits).alias("score"))  # one row of statistics
+    rows = cut(watched.filter(hit & F.coalesce(F.col("_ok"), F.lit(False))).select(*out, "_len", *(f"_f{j}" for j in range(len(distinct)))))
+    s = seen.get
+    n, average = F.lit(float(s["n"])), F.lit(float(s["len"]) / max(1, s["n"]))
+    total = add(times[j] * part(idf(n, F.lit(float(s[f"n{j}"]))), F.col(f"_f{j}"), F.col("_len"), average) for j in range(len(distinct)))
+    scored = rows.select(*out, F.round(total, digits).alias("score"))
     order = [F.desc("score"), *(tie or []), key]
     return scored.orderBy(*order).limit(k) if k else scored
 
 
 def bm25_batch(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 10, digits: int = 6) -> DataFrame:
     """The best k documents for each row of ``queries`` (any term): query_key, key, score, rank.  Single-token terms."""
-    toks = docs.select(F.col(key), index_tokens(text).alias("_toks"))
+    toks = spread(docs.select(key, text)).select(F.col(key), index_tokens(text).alias("_toks"))
     lengths = toks.select(key, F.size("_toks").alias("_len"))
     stats = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
     wanted = queries.select(F.col(query_key), F.explode(index_tokens(query_text)).alias("term")).filter(F.length("term") >= 2).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))

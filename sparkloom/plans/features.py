@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as X
 from sparkloom.operators import rerank as R
 from sparkloom.operators.bm25 import bm25
-from sparkloom.sources.tables import table
+from sparkloom.sources.tables import spread, table
 
 from .base import query
 from .lexical import WORDS, bm25_sql
@@ -56,7 +56,7 @@ def identifier_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query("token_overlap", f"SELECT doc_id, len(t)::BIGINT AS n_tokens, round({_overlap(_list(R.tokens_of(WORDS)), 't')}, 6)::DOUBLE AS overlap FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)")
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", X.token_set("text").alias("t"))
+    t = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.token_set("text").alias("t"))
     q = F.array(*[F.lit(x) for x in R.tokens_of(WORDS)])
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.round(X.overlap(q, F.col("t")), 6).alias("overlap"))
 
@@ -84,7 +84,8 @@ row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({bm25_sql(WORDS, '
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    b = bm25(table(spark, d, "documents").select("doc_id", "text", "source", "lang"), WORDS, "doc_id", ["text"], 30, True)
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    b = docs.join(F.broadcast(bm25(docs, WORDS, "doc_id", ["text"], 30, True)), "doc_id")  # 30 rows
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))
     return b.select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"), F.concat_ws("_", "source", "lang").alias("symbol_name"), F.substring("text", 1, 200).alias("docstring"), F.col("source").alias("file_path"),

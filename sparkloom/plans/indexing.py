@@ -11,7 +11,7 @@ from sparkloom.operators import context as C
 from sparkloom.operators import dataflow as FL
 from sparkloom.sources import parse, sample, store
 from sparkloom.sources.embedding import HashingProvider, embed
-from sparkloom.sources.tables import table
+from sparkloom.sources.tables import spread, table
 from sparkloom.streaming.watch import windowed_counts
 
 from .base import query
@@ -89,7 +89,8 @@ def _tags_sql(c: str) -> str:
 
 @query("semantic_tags", f"SELECT doc_id, {_tags_sql('x')} AS tags FROM (SELECT doc_id, lower(text) AS x FROM documents)")
 def semantic_tags(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(D.semantic_tags("text"), ",").alias("tags"))
+    low = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.lower("text").alias("low"))
+    return low.select("doc_id", F.array_join(D.semantic_tags("low"), ",").alias("tags"))
 
 
 @query("module_words", "SELECT url, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS words FROM (SELECT url, regexp_extract_all(lower(regexp_replace(url, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+') AS l FROM pages)")

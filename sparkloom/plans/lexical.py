@@ -43,12 +43,12 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bm25_or", bm25_sql(WORDS, "documents", "doc_id, source", ["text"], "doc_id", 20, True))
 def bm25_or(spark: SparkSession, d: str) -> DataFrame:
-    return bm25(_docs(spark, d), WORDS, "doc_id", ["text"], 20, True).select("doc_id", "source", "score")
+    return bm25(_docs(spark, d), WORDS, "doc_id", ["text"], 20, True, keep=["source"])
 
 
 @query("bm25_and", bm25_sql("thnt ther thon", "documents", "doc_id, source", ["text"], "doc_id", 20, False))
 def bm25_and(spark: SparkSession, d: str) -> DataFrame:
-    return bm25(_docs(spark, d), "thnt ther thon", "doc_id", ["text"], 20).select("doc_id", "source", "score")
+    return bm25(_docs(spark, d), "thnt ther thon", "doc_id", ["text"], 20, keep=["source"])
 
 
 @query("bm25_phrase", bm25_sql(PHRASE, "documents", "doc_id", ["text"], "doc_id", 20, True))
@@ -59,7 +59,7 @@ def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
 @query("bm25_lang_prefilter", bm25_sql(GERMAN, "documents", "doc_id, lang", ["text"], "doc_id", 20, True, "lower(lang) IN ('de') AND regexp_matches(source, '^src1')"))
 def bm25_lang_prefilter(spark: SparkSession, d: str) -> DataFrame:
     """The filter takes part before the limit; statistics are the whole corpus's."""
-    return bm25(_docs(spark, d), GERMAN, "doc_id", ["text"], 20, True, language_is("lang", "de") & path_like("source", "src1*")).select("doc_id", "lang", "score")
+    return bm25(_docs(spark, d), GERMAN, "doc_id", ["text"], 20, True, language_is("lang", "de") & path_like("source", "src1*"), keep=["lang"])
 
 
 @query("bm25_fields", bm25_sql("source src3 thtion", "documents", "doc_id", ["text", "source", "lang"], "doc_id", 20, True))
@@ -74,7 +74,7 @@ _PART = "(SELECT p_partkey, p_name, p_brand, string_split(p_name, ' ') AS tags F
 @query("bm25_tags", bm25_sql("ring brand 7", _PART, "p_partkey, p_name", ["p_name", "p_brand"], "p_partkey", 20, True, "list_contains(tags, 'red')"))
 def bm25_tags(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.split("p_name", " ").alias("tags"))
-    return bm25(rows, "ring brand 7", "p_partkey", ["p_name", "p_brand"], 20, True, tags_all("tags", ["red"])).select("p_partkey", "p_name", "score")
+    return bm25(rows, "ring brand 7", "p_partkey", ["p_name", "p_brand"], 20, True, tags_all("tags", ["red"]), keep=["p_name"])
 
 
 @query("tags_all_filter", "SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_name, ' '), 'red') AND list_contains(string_split(p_name, ' '), 'bolt')")
@@ -112,7 +112,7 @@ def batch(spark: SparkSession, d: str) -> DataFrame:
 )
 def symbol_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The best five by BM25 (all terms), exact names first."""
-    best = bm25(table(spark, d, "part").select("p_partkey", "p_name"), "red bolt", "p_partkey", ["p_name"], 5)
+    best = bm25(table(spark, d, "part").select("p_partkey", "p_name"), "red bolt", "p_partkey", ["p_name"], 5, keep=["p_name"])
     return best.withColumn("exact", F.col("p_name") == "red bolt").orderBy(F.desc("exact"), F.desc("score"), "p_partkey")
 
 

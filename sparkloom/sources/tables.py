@@ -33,3 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The table, reliably checkpointed: iterative plans start from files again."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer parts than there are cores (small files) is dealt out; any other is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
