@@ -18,7 +18,7 @@ from sparkloom.operators import routing as RT
 from sparkloom.operators.bm25 import bm25
 from sparkloom.operators.knn import knn_one
 from sparkloom.sources import parse, store
-from sparkloom.sources.embedding import HashingProvider, Provider, embed
+from sparkloom.sources.embedding import PART, HashingProvider, Provider, embed
 from sparkloom.sources.tables import cut
 
 
@@ -43,6 +43,9 @@ class Config:
         return hashlib.sha256(json.dumps(plain, sort_keys=True).encode()).hexdigest()[:16]
 
 
+Counts = dict[str, int]
+Text = str | None
+Tags = list[str] | None
 RESULT = ["id", "symbol_name", "qualified_name", "file_path", "line_number", "chunk_type", "score", "snippet", "signature", "docstring", "tags", "channel_ranks", "language"]
 
 
@@ -65,7 +68,7 @@ class Engine:
         keyed = store.last_write(symbols, ["qualified_name"], [F.col("file_path"), F.col("line_number")])
         return {"files": files.select("path", "content"), "chunks": chunks, "symbols": keyed, "calls": calls, "search_docs": docs, "code_vectors": vectors, "doc_vectors": doc_vectors}
 
-    def index(self) -> dict[str, int]:
+    def index(self) -> Counts:
         """A full build."""
         self.index_store.write(self._derive(store.scan(self.spark, self.workspace).select("path", "content")))
         return self.stats()
@@ -97,7 +100,7 @@ class Engine:
         kept |= {n: store.delete(read(n), ids, "chunk_id") for n in ("search_docs", "code_vectors", "doc_vectors")}
         self.index_store.write({n: kept[n].select(*new[n].columns).unionByName(new[n]) for n in kept})
 
-    def stats(self) -> dict[str, int]:
+    def stats(self) -> Counts:
         return self.index_store.stats()
 
     def edges(self) -> DataFrame:
@@ -136,7 +139,7 @@ class Engine:
         out = best.select("b.id", "b.score", F.col("q").alias("qualified_name")).groupBy("id").agg(F.max("score").alias("score"), F.min("qualified_name").alias("qualified_name"))
         return out.orderBy(F.desc("score"), "id").limit(k)
 
-    def search(self, query: str, top_k: int | None = None, file_pattern: str | None = None, language: str | None = None, tags: list[str] | None = None, context: dict[str, str] | None = None, explain: bool = False) -> DataFrame:
+    def search(self, query: str, language: Text = None, top_k: int | None = None, tags: Tags = None, file_pattern: Text = None, context: dict[str, str] | None = None, explain: bool = False) -> DataFrame:
         """The best chunks.  ``context``: active_file, language, repo, workspace; a soft preference, or (without allow_cross_language) a filter on the language."""
         c, k, ctx = self.config, top_k or self.config.top_k, context or {}
         qtype, _, w, expanded = self._route(query)
@@ -183,10 +186,10 @@ class Engine:
 
     # -- the graph -------------------------------------------------------------------
 
-    def callers(self, symbol: str, depth: int = 1) -> DataFrame:
+    def callers(self, symbol: str, *, depth: int = 1) -> DataFrame:
         return G.k_hop(G.reverse(self.edges()), self.spark.createDataFrame([(symbol,)], "node string"), depth)
 
-    def callees(self, symbol: str, depth: int = 1) -> DataFrame:
+    def callees(self, symbol: str, *, depth: int = 1) -> DataFrame:
         return G.k_hop(self.edges(), self.spark.createDataFrame([(symbol,)], "node string"), depth)
 
     def impact(self, symbol: str) -> DataFrame:
@@ -200,6 +203,4 @@ class Engine:
 
 
 def _words(text: str) -> list[str]:
-    import re
-
-    return [t.lower() for t in re.findall(r"[A-Za-z0-9]+", text) if len(t) >= 2]
+    return [t for t in PART.findall(text.lower()) if len(t) >= 2]

@@ -11,7 +11,7 @@ from sparkloom.api import Engine
 from sparkloom.session import session
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(arguments: list[str] | tuple[str, ...] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sparkloom")
     p.add_argument("--master", default="local[*]")
     p.add_argument("--index-dir", help="default: .sparkloom in the workspace's parent")
@@ -20,13 +20,13 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("search")
     s.add_argument("workspace")
     s.add_argument("query")
-    s.add_argument("--top-k", type=int, default=10)
     s.add_argument("--language")
+    s.add_argument("--top-k", default=10, type=int)
     s.add_argument("--file-pattern")
     s.add_argument("--tag", action="append", default=[])
     s.add_argument("--json", action="store_true")
     s.add_argument("--explain", action="store_true")
-    a = p.parse_args(argv)
+    a = p.parse_args(arguments)
     spark = session(master=a.master, partitions=8)
     engine = Engine(spark, a.workspace, a.index_dir or a.workspace.rstrip("/") + ".index", auto_index=a.command == "search")
     if a.command == "index":
@@ -45,4 +45,6 @@ def main(argv: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    raise SystemExit(main())
+    import sys
+
+    sys.exit(main())

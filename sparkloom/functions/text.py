@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 
 Name = Column | str
 
+#: Where a lower-case letter or digit meets a capital; names in camelCase and snake_case; words.
+HUMP = "([0-9a-z])([A-Z])"
+_LOW = "[a-z]+"
+CAMEL = re.compile(rf"\b({_LOW}(?:[A-Z]{_LOW})+)\b")
+SNAKE = re.compile(rf"\b({_LOW}(?:_{_LOW})+)\b")
+WORD = re.compile("[0-9A-Z_a-z]+")
+
 
 def col(c: Name) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -37,7 +44,7 @@ def words(c: Name, pattern: str = r"([A-Za-z0-9_]+)") -> Column:
 
 def split_identifier(c: Name) -> Column:
     """Lower-case words of a camelCase, snake_case or kebab-case name, of two characters or more."""
-    spaced = F.regexp_replace(F.regexp_replace(F.coalesce(col(c), F.lit("")), "([a-z0-9])([A-Z])", "$1 $2"), "[_-]", " ")
+    spaced = F.regexp_replace(F.regexp_replace(F.coalesce(col(c), F.lit("")), HUMP, "$1 $2"), "[_-]", " ")
     return F.filter(words(F.lower(spaced), "([a-z0-9]+)"), lambda t: F.length(t) >= 2)
 
 
@@ -78,8 +85,9 @@ def trigram_jaccard(a: Name, b: Name) -> Column:
 
 # -- paths and languages --------------------------------------------------------
 
-SUFFIX_LANGUAGE = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust", "java": "java", "html": "html", "htm": "html", "css": "css"}
-ALIASES = {"golang": "go", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "py": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript"}
+_SUFFIXES = "css:css go:go html:htm,html java:java javascript:js,jsx python:py rust:rs typescript:ts,tsx"
+SUFFIX_LANGUAGE = {s: k for k, ss in (x.split(":") for x in _SUFFIXES.split()) for s in ss.split(",")}
+ALIASES = {**SUFFIX_LANGUAGE, "golang": "go", "mjs": "javascript"}
 FAMILY = {"typescript": ("javascript", "typescript"), "javascript": ("javascript", "typescript")}
 
 

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import fold_accents, index_tokens
+from sparkloom.functions.text import WORD, fold_accents, index_tokens
 from sparkloom.sources.tables import cut, spread
 
 K1, B = 1.2, 0.75
@@ -33,7 +33,7 @@ MOST_TERMS = 96
 
 
 def query_terms(query: str, keep_stop_words: bool = False) -> list[str]:
-    found = [t for t in re.findall(r"[A-Za-z0-9_]+", query) if len(t) >= 2]
+    found = [t for t in WORD.findall(query) if len(t) >= 2]
     kept = found if keep_stop_words else [t for t in found if t.lower() not in QUERY_STOP]
     return (kept or found)[:MOST_TERMS]
 

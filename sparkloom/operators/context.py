@@ -22,9 +22,9 @@ class Budget:
     def available(self) -> int:
         return max(0, int((self.total - self.reserve) * (1 - self.margin)))
 
-    def allocate(self, ratios: dict[str, float] | None = None) -> dict[str, int]:
+    def allocate(self, ratios: dict[str, float] = RATIOS) -> dict[str, int]:
         """Shares of what is available, largest ratio first; the last takes the remainder."""
-        order = sorted((ratios or RATIOS).items(), key=lambda kv: -kv[1])
+        order = sorted(ratios.items(), key=lambda kv: -kv[1])
         out, left = {}, self.available
         for k, (name, r) in enumerate(order):
             out[name] = left if k == len(order) - 1 else min(left, int(self.available * r))

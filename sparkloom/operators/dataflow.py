@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import contains_any
 
-INPUTS = {"environ.get": "env_vars", "input": "user_input", "os.environ": "env_vars", "os.getenv": "env_vars", "request": "http_request", "sys.argv": "cli_args"}
+_KINDS = "cli_args:sys.argv env_vars:environ.get,os.environ,os.getenv http_request:request user_input:input"
+INPUTS = {p: k for k, ps in (x.split(":") for x in _KINDS.split()) for p in ps.split(",")}
 FULL = ["marshmallow", "pydantic", "validator", ".validate"]
 CLEANERS = ["bleach", "encode", "escape", "sanitize"]
 OUTSIDE = sorted(set(INPUTS.values()))

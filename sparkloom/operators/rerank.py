@@ -8,18 +8,18 @@ a scalar, so its side of each feature is a literal.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import STOP_WORDS, jaccard, overlap, split_identifier, token_set, trigram_jaccard
+from sparkloom.functions.text import CAMEL, SNAKE, STOP_WORDS, WORD, jaccard, overlap, split_identifier, token_set, trigram_jaccard
 
 LIBRARIES = set(
     """aiohttp asyncio beautifulsoup bs4 celery collections csv cv2 dataclasses django fastapi flask functools huggingface io itertools json jwt matplotlib multiprocessing nltk numpy opencv os pandas pillow
     plotly psycopg2 pydantic pymongo pytest redis requests scikit scrapy seaborn sklearn spacy sqlalchemy sqlite3 subprocess sys tensorflow tf threading toml torch transformers yaml""".split()
 )
+CHANNELS = dict(graph=1.0, bm25=0.9, vector=0.7)
 FEATURES = "func_name import_match ast_struct token_overlap doc_overlap summary_overlap search_doc_overlap symbol_soft param_return channel_boost context_prior rrf_prior".split()
 WEIGHTS = {
     "nl": dict(zip(FEATURES, (0.08, 0.04, 0.05, 0.14, 0.20, 0.14, 0.04, 0.10, 0.07, 0.06, 0.0, 0.08))),
@@ -30,14 +30,14 @@ WEIGHTS = {
 
 def tokens_of(text: str) -> list[str]:
     """The query's token set, as ``token_set`` gives for a column."""
-    whole = re.findall(r"[A-Za-z0-9_]+", text.lower())
+    whole = WORD.findall(text.lower())
     both = dict.fromkeys([*whole, *(p for w in whole for p in w.split("_") if len(p) >= 2)])
     return [t for t in both if len(t) >= 2 and t not in STOP_WORDS]
 
 
 def names_of(text: str) -> list[str]:
     """Names written in the query: up to three, camelCase before snake_case."""
-    found = re.findall(r"\b([a-z]+(?:[A-Z][a-z]+)+)\b", text) + re.findall(r"\b([a-z]+(?:_[a-z]+)+)\b", text)
+    found = CAMEL.findall(text) + SNAKE.findall(text)
     return list(dict.fromkeys(found[:3]))
 
 
@@ -79,7 +79,7 @@ def features(c: DataFrame, query: str, context_boost: float = 0.03) -> DataFrame
     if hint:
         ast = ast + F.greatest(F.lit(0.0), 0.3 - 0.1 * F.abs(hint - F.coalesce(get("n_params", "int"), F.lit(0))))
     ranks = get("channel_ranks", "map<string,int>")
-    channel = F.least(F.lit(1.0), F.greatest(F.lit(0.0), *[F.coalesce(w / F.element_at(ranks, n), F.lit(0.0)) for n, w in (("graph", 1.0), ("bm25", 0.9), ("vector", 0.7))]))
+    channel = F.least(F.lit(1.0), F.greatest(F.lit(0.0), *[F.coalesce(w / F.element_at(ranks, n), F.lit(0.0)) for n, w in CHANNELS.items()]))
     match = F.coalesce(get("context_match", "double"), F.lit(0.0))
     return c.select(
         "*",
@@ -120,10 +120,10 @@ V2_STOP = set("a an and are as at be by can could did do does for from get had h
 def rerank_v2(c: DataFrame, query: str, digits: int = 9) -> DataFrame:
     """The six-feature model: exact name, imports, kind, fused score, word Jaccard, cosine."""
     low = query.lower()
-    q = sorted(set(re.findall(r"[A-Za-z0-9_]+", low)))
+    q = sorted(set(WORD.findall(low)))
     name = F.lower(F.coalesce(F.col("symbol_name"), F.lit("")))
     parts = F.regexp_extract_all(name, F.lit("([a-z0-9_]+)"), F.lit(1))
-    written = [n.lower() for n in re.findall(r"\b([a-z]+(?:[A-Z][a-z]+)+)\b", query) + re.findall(r"\b([a-z]+(?:_[a-z]+)+)\b", query)]
+    written = [n.lower() for n in CAMEL.findall(query) + SNAKE.findall(query)]
     named = reduce(lambda a, b: a | b, [(name == n) | (F.contains(name, F.lit(n)) if len(n) >= 4 else F.lit(False)) for n in written], F.lit(False))
     f1 = F.when(named, 1.0).when(F.length(name) < 2, 0.0).when(F.instr(F.lit(low), name) > 0, 1.0).when(F.size(F.array_except(parts, _arr(q))) == 0, 0.8).otherwise(0.0)
     f2 = F.when(F.arrays_overlap(_arr(libraries_of(query)), imports(F.col("content"))), 1.0).otherwise(0.0)

@@ -33,7 +33,7 @@ def _overlap(q: str, c: str) -> str:
 
 
 def _split(c: str) -> str:
-    return f"list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce({c}, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_-]', ' ', 'g')), '[a-z0-9]+'), lambda t: length(t) >= 2)"
+    return f"list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce({c}, ''), '([0-9a-z])([A-Z])', '\\1 \\2', 'g'), '[_-]', ' ', 'g')), '[a-z0-9]+'), lambda t: length(t) >= 2)"
 
 
 def _tri(c: str) -> str:
@@ -130,10 +130,10 @@ def rerank_v1_nl(spark: SparkSession, d: str) -> DataFrame:
     return R.rerank(candidates(spark, d), ASK, nl=True, digits=6).select("id", "rerank_score", "stage")
 
 
-_V2Q = _list(sorted({t for t in __import__("re").findall(r"[a-z0-9_]+", ASK.lower())}))
-_V2Q_F = _list(sorted({t for t in __import__("re").findall(r"[a-z0-9_]+", ASK.lower())} - R.V2_STOP))
+_V2Q = _list(sorted({t for t in X.WORD.findall(ASK.lower())}))
+_V2Q_F = _list(sorted({t for t in X.WORD.findall(ASK.lower())} - R.V2_STOP))
 _V2HAVE = f"list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]+')), lambda t: NOT list_contains({_list(sorted(R.V2_STOP))}, t))"
-_V2NAMED = " OR ".join(f"lower(symbol_name) = '{n.lower()}' OR contains(lower(symbol_name), '{n.lower()}')" for n in [*__import__("re").findall(r"\b([a-z]+(?:[A-Z][a-z]+)+)\b", ASK), *__import__("re").findall(r"\b([a-z]+(?:_[a-z]+)+)\b", ASK)]) or "false"
+_V2NAMED = " OR ".join(f"lower(symbol_name) = '{n.lower()}' OR contains(lower(symbol_name), '{n.lower()}')" for n in [*X.CAMEL.findall(ASK), *X.SNAKE.findall(ASK)]) or "false"
 
 
 @query(

@@ -74,7 +74,7 @@ def unvalidated_inputs(spark: SparkSession, d: str) -> DataFrame:
     return FL.unvalidated_inputs(FL.flows(files(spark), parsed(spark)[1]))
 
 
-@query("html_title_chunks", "SELECT url || '#' || trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS docstring, (length(html) - length(replace(html, chr(10), '')) + 1)::BIGINT AS end_line FROM pages")
+@query("html_title_chunks", "SELECT url || '#' || trim(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)) AS id, trim(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)) AS docstring, (length(html) - length(replace(html, chr(10), '')) + 1)::BIGINT AS end_line FROM pages")
 def html_title_chunks(spark: SparkSession, d: str) -> DataFrame:
     t = D.html_title("html")
     return table(spark, d, "pages").select(F.concat_ws("#", "url", t).alias("id"), t.alias("docstring"), F.size(F.split("html", "\n", -1)).cast("long").alias("end_line"))
@@ -93,7 +93,7 @@ def semantic_tags(spark: SparkSession, d: str) -> DataFrame:
     return low.select("doc_id", F.array_join(D.semantic_tags("low"), ",").alias("tags"))
 
 
-@query("module_words", "SELECT url, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS words FROM (SELECT url, regexp_extract_all(lower(regexp_replace(url, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+') AS l FROM pages)")
+@query("module_words", "SELECT url, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS words FROM (SELECT url, regexp_extract_all(lower(regexp_replace(url, '([0-9a-z])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+') AS l FROM pages)")
 def module_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("url", D.module_words("url").alias("words"))
 

@@ -55,7 +55,7 @@ TYPE_SQL = f"""CASE WHEN NOT {_CODE} AND {_any(_LOW, R.PURPOSE)} THEN 'nl'
 WHEN NOT {_CODE} AND {_N} >= 5 AND ({_any(_LOW, R.TYPE_STRONG)} OR {_count(_LOW, R.TYPE_WEAK)} >= 1) THEN 'nl'
 WHEN NOT {_CODE} AND {_N} >= 18 THEN 'nl' WHEN {_CODE} THEN 'code'
 WHEN contains(query, chr(10)) AND regexp_matches(query, {_lit(R.CODE_INSIDE)}) THEN 'code'
-WHEN {_N} >= 5 AND NOT regexp_matches(query, '[_(){{}};=]|::') THEN 'nl'
+WHEN {_N} >= 5 AND NOT regexp_matches(query, '[;={{}}()_]|::') THEN 'nl'
 WHEN contains(query, '_') OR regexp_matches(query, '[a-z][A-Z]') OR contains(query, '(') OR contains(query, '::') THEN 'code'
 WHEN contains(query, '.') AND (regexp_matches(query, '\\.[a-zA-Z]') OR length(query) - length(replace(query, '.', '')) >= 2) THEN 'code' ELSE 'nl' END"""
 PROFILE_SQL = f"""CASE WHEN {_CODE} THEN 'code' WHEN {_any(_LOW, R.PURPOSE)} THEN 'function_memory'

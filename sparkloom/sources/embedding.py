@@ -19,6 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import HUMP
+
+
+PART = re.compile("[0-9a-z]+")
+
 
 class Provider(Protocol):
     dimension: int
@@ -37,7 +42,7 @@ class HashingProvider:
 
         out = np.zeros((len(texts), self.dimension), np.float32)
         for i, t in enumerate(texts):
-            for w in re.findall(r"[a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", t or "").lower()):
+            for w in PART.findall(re.sub(HUMP, r"\1 \2", t or "").lower()):
                 h = xxhash.xxh64_intdigest(w)
                 out[i, h % self.dimension] += 1.0 if h >> 63 else -1.0
         norm = np.linalg.norm(out, axis=1, keepdims=True)

@@ -187,12 +187,13 @@ class _Walk(ast.NodeVisitor):
             raw, parts = c.pop("raw"), None
             owner = c.pop("owner")
             parts = raw.split(".")
+            own = parts[0] == "self"
             tries = [f"{module}.{raw}"]
-            if parts[0] == "self" and len(parts) == 3 and parts[1] in self.typed:
+            if own and len(parts) == 3 and parts[1] in self.typed:
                 tries.append(f"{module}.{self.typed[parts[1]]}.{parts[2]}")
-            if parts[0] == "self" and len(parts) == 2 and owner:
+            if own and len(parts) == 2 and owner:
                 tries.append(f"{module}.{owner}.{parts[1]}")
-            found = next((t for t in tries if t in self.symbols), None) or (by_name.get(parts[-1]) if parts[0] == "self" or len(parts) == 1 else None)
+            found = next((t for t in tries if t in self.symbols), None) or (by_name.get(parts[-1]) if own or len(parts) == 1 else None)
             out.append({"callee": found or raw, **c})
         return out
 
@@ -351,7 +352,7 @@ def parse_text(path: str, text: str) -> tuple[list[dict], list[dict], list[dict]
     if language in RULES:
         return parse_braces(path, language, text)
     if language in ("html", "css"):
-        m = re.search(r"(?is)<title[^>]*>(.*?)</title>", text) if language == "html" else re.search(r"(?s)/\*(.*?)\*/", text)
+        m = re.search(r"(?is)<title\b[^>]*>(.*?)</title\s*>", text) if language == "html" else re.search(r"(?s)/\*(.*?)\*/", text)
         c = chunk(path, language, lines, "file", path.rpartition("/")[2], 1, len(lines), doc=m[1].strip() if m else None)
         return [{**c, "tags": [language, "frontend", "asset"]}], [], []
     return [], [], []

@@ -37,5 +37,5 @@ def watch(spark: SparkSession, root: str, index: store.Index, update: Callable[[
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour", group: str = "event_type") -> DataFrame:
     """Counts and sums of an event stream (or table) by tumbling window; on a stream, later events than the watermark are dropped."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", width).alias("w"), group).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), group, "n", "total")
