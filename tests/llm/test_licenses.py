@@ -29,14 +29,7 @@ def brute(text):
     return Q.Book().match([n for _, n in hits], [k for k, _ in hits]), len(normal(text))
 
 
-APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
-you may not use this file except in compliance with the License.
-You may obtain a copy of the License at
-
-    http://www.apache.org/licenses/LICENSE-2.0
-
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
-See the License for the specific language governing permissions and limitations under the License."""
+APACHE = "\n\n".join(Q.SENTENCES[k][-2 if k == "apache-short" else 0] for k in ("apache-short", "apache-use", "apache-copy", "apache-basis", "apache-see"))
 MIT = "\n\n".join(t for k in ("mit-short", "mit-grant", "mit-notice", "mit-as-is") for t in Q.SENTENCES[k][:1])
 
 
