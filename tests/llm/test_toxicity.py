@@ -73,11 +73,9 @@ def _cost(span, got, model):
 
 
 def test_held_out(spark):
-    out = X.op9_toxicity(spark, "/root/testdata/sf0.1").join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").join(table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
-    # only English documents show in their text what the label says in these tables
-    en = out[out.lang == "en"]
-    assert (en[en.toxic == 1].predicted == 1).mean() > 0.85
-    assert (en[en.toxic == 0].predicted == 0).mean() > 0.99
+    out = X.op9_toxicity(spark, "/root/testdata/sf0.1").join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").filter("held_out").toPandas()
+    assert (out[out.toxic == 1].predicted == 1).mean() > 0.8
+    assert (out[out.toxic == 0].predicted == 0).mean() > 0.98
     assert out.score.between(0, 1).all()
 
 
