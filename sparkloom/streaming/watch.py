@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkloom.sources import store
+from sparkloom.sources.tables import cut
 
 
 def tick(index: store.Index, now: DataFrame, update: Callable[[DataFrame, DataFrame], None]) -> DataFrame:
@@ -17,7 +18,8 @@ def tick(index: store.Index, now: DataFrame, update: Callable[[DataFrame, DataFr
         old = index.read("files")
     except Exception:  # noqa: BLE001 - there is no index yet
         old = now.limit(0)
-    changes = store.changed(old.select("path", "content"), now.select("path", "content")).cache()
+    # not cached: the plan of a later tick may be the same, and would be given this one's rows
+    changes = cut(store.changed(old.select("path", "content"), now.select("path", "content")))
     if not changes.isEmpty():
         fresh = now.join(changes.filter("change <> 'deleted'").select("path"), "path", "left_semi")
         update(fresh, changes)
