@@ -104,7 +104,10 @@ class Engine:
         return self.index_store.stats()
 
     def edges(self) -> DataFrame:
-        return self.index_store.read("calls").select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
+        """Calls as (src, dst).  Names that a file couldn't resolve by itself are looked up among all symbols; others stay external."""
+        calls = self.index_store.read("calls").select(F.col("caller").alias("src"), F.col("callee").alias("name")).distinct()
+        known = G.resolve_names(calls, self.index_store.read("symbols").select(F.col("qualified_name").alias("node")))
+        return calls.join(known, "name", "left").select("src", F.coalesce("resolved", "name").alias("dst")).distinct()
 
     # -- searching -----------------------------------------------------------------
 

@@ -322,6 +322,17 @@ def community_entries(edges: DataFrame, members: DataFrame) -> DataFrame:
     return m.join(inner, "node", "left_anti")
 
 
+def community_of(members: DataFrame, name: str) -> DataFrame:
+    """A symbol's community; if the name is unknown, that of the least symbol that ends in it, else contains it."""
+    kind = F.when(F.col("node") == name, 0).when(F.col("node").endswith("." + name), 1).when(F.col("node").contains(name), 2)
+    return members.select("node", "community", kind.alias("_k")).filter("_k IS NOT NULL").orderBy("_k", "node").limit(1).select("node", "community")
+
+
+def search_communities(members: DataFrame, pattern: str) -> DataFrame:
+    """Communities with a member whose name contains the pattern, each once."""
+    return members.filter(F.lower("node").contains(pattern.lower())).select("community").distinct()
+
+
 CROSS_CUTTING, LAYERED = "config|error|exception|helper|log|middleware|util", "api|controller|dao|handler|model|repository|route|schema|service"
 
 

@@ -55,6 +55,20 @@ def imports(content: Column) -> Column:
     return F.array_intersect(F.transform(found, F.lower), _arr(sorted(LIBRARIES)))
 
 
+#: What short names mean, by a word of the name.  Of no weight in the models; for explanations.
+_ALIASES = """alpha:alphabetic,cracking,cipher,decoder,hash count:collection,elements,length,number,size has:contains,exists,key,member,presence init:configuration,constructor,initialize,setup,state
+into:convert,output,transform,value json:deserialization,element,object,serialization len:collection,count,elements,number,size length:collection,count,elements,number,size max:bound,compare,largest,maximum,upper
+min:bound,compare,lower,minimum,smallest null:check,empty,missing,none,type options:arguments,command,configuration,defaults,settings opts:arguments,command,configuration,defaults,settings random:alphanumeric,generate,sequence
+repr:debug,printable,representation run:command,execute,process,start,task stat:file,information,metadata,statistics,status str:convert,display,representation,text u64:bit,identifier,integer,numeric,unsigned"""
+
+
+def aliases(parts: Column) -> Column:
+    """Further words for a name's words."""
+    table = {k: v.split(",") for k, v in (x.split(":") for x in _ALIASES.split())}
+    pairs = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), _arr(v))])
+    return F.array_distinct(F.flatten(F.transform(parts, lambda p: F.coalesce(F.element_at(pairs, p), _arr([])))))
+
+
 def features(c: DataFrame, query: str, context_boost: float = 0.03) -> DataFrame:
     """The candidates with a column for each feature."""
     have = set(c.columns)
@@ -95,6 +109,8 @@ def features(c: DataFrame, query: str, context_boost: float = 0.03) -> DataFrame
         channel.alias("channel_boost"),
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), match * context_boost * 10)).alias("context_prior"),
         F.least(F.coalesce(get("score", "double"), F.lit(0.0)), F.lit(1.0)).alias("rrf_prior"),
+        overlap(q, F.array_union(token_set(get("qualified_name")), token_set(get("file_path")))).alias("owner_match"),
+        overlap(q, aliases(parts)).alias("alias_match"),
         match.alias("_match"),
     )
 

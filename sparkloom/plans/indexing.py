@@ -9,7 +9,7 @@ from sparkloom.functions import documents as D
 from sparkloom.functions.text import language_of_path
 from sparkloom.operators import context as C
 from sparkloom.operators import dataflow as FL
-from sparkloom.sources import parse, sample, store
+from sparkloom.sources import lookup, parse, sample, store
 from sparkloom.sources.embedding import HashingProvider, embed
 from sparkloom.sources.tables import spread, table
 from sparkloom.streaming.watch import windowed_counts
@@ -203,6 +203,17 @@ def symbol_chunk_fallback(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("l_orderkey").agg(F.min_by("p_partkey", F.struct("prio", "p_partkey")).alias("chosen"))
 
 
+@query("qualified_lookup")
+def qualified_lookup(spark: SparkSession, d: str) -> DataFrame:
+    c, s, calls = parsed(spark)
+    return lookup.chunks_by_qualified(calls.select(F.col("callee").alias("name")), c, s)
+
+
+@query("symbols_by_name")
+def symbols_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.symbols_by_name(parsed(spark)[1], "read_json", 5)
+
+
 @query("token_budget", "SELECT * FROM (VALUES ('definition', 27000::BIGINT), ('relations', 27000), ('dependency', 21600), ('dataflow', 16200), ('community', 16200)) t(section, tokens)")
 def token_budget(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(C.Budget().allocate().items()), "section string, tokens long")

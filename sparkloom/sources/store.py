@@ -93,6 +93,19 @@ def cache_invalidate(cache: DataFrame, file_hashes: list[str]) -> DataFrame:
     return cache.filter((F.col("level") < 2) | ~F.coalesce(F.col("file_hash"), F.lit("")).isin(*file_hashes)) if file_hashes else cache
 
 
+def cache_delete(cache: DataFrame, key: str) -> DataFrame:
+    return cache.filter(F.col("key") != key)
+
+
+def cache_clear(cache: DataFrame, level: int | None = None) -> DataFrame:
+    """Without one level's entries, or empty."""
+    return cache.filter(F.col("level") != level) if level is not None else cache.limit(0)
+
+
+def cache_get(cache: DataFrame, key: str, now: float) -> DataFrame:
+    return cache_live(cache, now).filter(F.col("key") == key).select("value")
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.groupBy("level").agg(F.count(F.lit(1)).alias("entries"))
 

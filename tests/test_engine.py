@@ -58,7 +58,7 @@ def test_index_search_and_refresh(engine, workspace):
 
 def test_graph(engine):
     names = {r["node"] for r in engine.callers("app.reader.read_json").collect()}
-    assert "app.reader.Reader.fetch" in names
+    assert {"app.reader.Reader.fetch", "app.server.handle_request"} <= names
     found = {(r["node"], r["direction"]): r["depth"] for r in engine.impact("app.reader.check").collect()}
     assert found["app.reader.clean", "upstream"] == 1 and found["app.reader.Store.put", "upstream"] == 2
     assert {r["node"] for r in engine.callees("app.reader.check").collect()} >= {"app.reader.clean", "bool"}

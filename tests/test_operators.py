@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as X
 from sparkloom.operators import bm25, context, fusion, graph, knn, rerank, routing
 from sparkloom.operators import dataflow as flow
-from sparkloom.sources import parse, sample, store
+from sparkloom.sources import lookup, parse, sample, store
 from sparkloom.streaming import watch
 
 CHUNKS = [
@@ -196,3 +196,25 @@ def test_stream_windows_and_watcher(spark, sf_dir, tmp_path):
             q.awaitTermination(1)
         assert want <= got
     q.stop()
+
+
+def test_lookups(spark, tmp_path):
+    files = spark.createDataFrame(list(sample.FILES.items()), "path string, content string")
+    c, s, calls = parse.parse_files(files)
+    names = spark.createDataFrame([("app.reader.Store.put",), ("app.reader.check",), ("web.client.format",), ("nowhere.square",), ("unknown.thing",)], "name string")
+    got = {r["name"]: (r["id"].partition("@")[0], r["prio"]) for r in lookup.chunks_by_qualified(names, c, s).collect()}
+    assert got["app.reader.check"] == ("app/reader.py#check", 1) and got["nowhere.square"] == ("core/lib.rs#square", 2) and "unknown.thing" not in got
+    assert got["app.reader.Store.put"][1] == 3 and got["web.client.format"][0] == "web/client.ts#format"
+    assert [r["name"] for r in lookup.symbols_by_name(s, "app.reader.read_json").collect()][:1] in (["read_json"], [])
+    assert [r["name"] for r in lookup.symbols_by_name(s, "read_json").collect()][0] == "read_json"
+    assert lookup.chunk_by_symbol(c, "check").count() == lookup.chunk_by_file(c, "app/reader.py").count() == 1
+    assert lookup.chunk_ids_by_file(c, "app/reader.py").count() == 6 and lookup.symbol(s, "app.reader.check").count() == 1
+    nodes, edges = s.select(F.col("qualified_name").alias("name"), "file_path"), calls
+    lookup.save_graph(nodes, edges, str(tmp_path / "g"))
+    n, e = lookup.load_graph(spark, str(tmp_path / "g"))
+    n2, e2 = lookup.remove_file(n, e, "app/reader.py")
+    assert n2.filter("file_path = 'app/reader.py'").count() == 0 and e2.filter("callee = 'read_json'").count() == 1
+    m = spark.createDataFrame([("a.log", 1), ("b.run", 2), ("c.run", 2)], "node string, community int")
+    assert graph.community_of(m, "run").first()["node"] == "b.run" and graph.search_communities(m, "RUN").count() == 1
+    assert routing.dispatch(spark, "who calls load", {"relation": lambda e, q: ("r", e), "semantic": lambda e, q: ("s", e)}) == ("r", "load")
+    assert routing.dispatch(spark, "anything else", {"semantic": lambda e, q: ("s", e)}) == ("s", "anything else")
