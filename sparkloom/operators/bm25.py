@@ -12,14 +12,19 @@ filters on rows come after them.
 
 A single query needs no index and no shuffle: one scan counts terms, keeps the counts of
 matching rows (without texts) and observes the corpus statistics; the top rows are then
-taken from each partition first.  Many queries at once go through postings restricted to the queries' terms.
+taken from each partition first.  Many queries at once meet the scan as one matrix.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +35,7 @@ K1, B = 1.2, 0.75
 #: Words that a query leaves out, beside those of one character.
 QUERY_STOP = set("a an and are as at be been but by do does did for from had has have he her his how i in is it its not of on or that the their this to was we were what when which who will with you".split())
 MOST_TERMS = 96
+QUERY_BYTES = 64 << 20
 
 
 def query_terms(query: str, keep_stop_words: bool = False) -> list[str]:
@@ -98,17 +104,86 @@ def bm25(docs: DataFrame, query: str, key: str, fields: list[str], k: int | None
     return scored.orderBy(*order).limit(k) if k else scored
 
 
+def _hits(vocabulary: dict[str, int]):
+    """(length, term numbers, their counts) of each token line."""
+
+    def of(line: str) -> tuple[int, np.ndarray, np.ndarray]:
+        words = line.split()
+        found = np.array([n for n in map(vocabulary.get, words) if n is not None], np.int64)
+        return len(words), *np.unique(found, return_counts=True)
+
+    return of
+
+
+def _frequencies(vocabulary: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, df, rows, length = _hits(vocabulary), np.zeros(len(vocabulary), np.int64), 0, 0
+        for batch in batches:
+            for line in batch.column(1).to_pylist():
+                n, t, _ = of(line)
+                df[t] += 1
+                rows, length = rows + 1, length + n
+        at = np.flatnonzero(df)
+        # rows and lengths travel as terms -1 and -2
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([df[at], [rows, length]]))], ["term", "n"])
+
+    return run
+
+
+def _best(vocabulary: dict[str, int], weights: np.ndarray, ids: np.ndarray, average: float, k: int, digits: int, key: str):
+    """weights: terms x queries, times in the query * idf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _hits(vocabulary)
+        top_s, top_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            keys, lines = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for lo in range(0, len(lines), 256):
+                s = np.zeros((len(ids), len(lines[lo : lo + 256])))
+                for j, line in enumerate(lines[lo : lo + 256]):
+                    n, t, f = of(line)
+                    s[:, j] = (f * (K1 + 1) / (f + K1 * (1 - B + B * n / average))) @ weights[t]
+                both, who = np.concatenate([top_s, np.round(s, digits)], 1), np.concatenate([top_i, np.broadcast_to(keys[lo : lo + 256], s.shape)], 1)
+                order = np.lexsort((who, -both), axis=1)[:, :k]
+                top_s, top_i = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
+        q, at = np.nonzero(top_s > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(top_i[q, at]), pa.array(top_s[q, at])], ["query_id", key, "score"])
+
+    return run
+
+
 def bm25_batch(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int = 10, digits: int = 6) -> DataFrame:
-    """The best k documents for each row of ``queries`` (any term): query_key, key, score, rank.  Single-token terms."""
-    toks = spread(docs.select(key, text)).select(F.col(key), index_tokens(text).alias("_toks"))
-    lengths = toks.select(key, F.size("_toks").alias("_len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
-    wanted = queries.select(F.col(query_key), F.explode(index_tokens(query_text)).alias("term")).filter(F.length("term") >= 2).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = wanted.select("term").distinct()
-    postings = toks.select(key, F.size("_toks").alias("_len"), F.explode("_toks").alias("term")).join(terms, "term", "left_semi").groupBy(key, "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    weighted = df.join(F.broadcast(stats)).select("term", "_avg", idf(F.col("_n"), F.col("_df")).alias("w"))
-    hits = postings.join(weighted, "term").join(wanted, "term")
-    scored = hits.groupBy(query_key, key).agg(F.round(F.sum(F.col("times") * part(F.col("w"), F.col("tf"), F.col("_len"), F.col("_avg"))), digits).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    """The best k documents for each row of ``queries`` (any term; single tokens): query_key, key (both long), score, rank.
+
+    Queries go to the scan in blocks whose term-by-query matrix has at most ``QUERY_BYTES``;
+    one scan counts the terms, a second scores and keeps each partition's best k a query.
+    No posting is shuffled.  A block after another is read, however many there are.
+    """
+    lines = spread(docs.select(F.col(key).cast("long").alias(key), text)).select(key, _line(text).alias("line"))
+    asked = queries.select(F.col(query_key).cast("long").alias("q"), F.filter(index_tokens(query_text), lambda t: F.length(t) >= 2).alias("t"))
+    blocks: list[list[tuple[int, Counter]]] = [[]]
+    seen: set[str] = set()
+    out = None
+    for r in asked.orderBy("q").toLocalIterator():  # a partition of queries at a time
+        more = seen | set(r["t"])
+        if blocks[-1] and len(more) * (len(blocks[-1]) + 1) * 8 > QUERY_BYTES:
+            blocks.append([])
+            more = set(r["t"])
+        seen = more
+        blocks[-1].append((r["q"], Counter(r["t"])))
+    for block in blocks:
+        vocabulary = {t: n for n, t in enumerate(sorted({t for _, c in block for t in c}))}
+        names = list(vocabulary)
+        got = lines.mapInArrow(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pydict()  # a row for each term
+        n = dict(zip(got["term"], got["n"]))
+        total, average = n.get(-1, 0), n.get(-2, 0) / max(1, n.get(-1, 0))
+        weights = np.zeros((len(names), len(block)))
+        for j, (_, c) in enumerate(block):
+            for t, times in c.items():
+                held = n.get(vocabulary[t], 0)
+                raw = math.log((total - held + 0.5) / (held + 0.5))
+                weights[vocabulary[t], j] = times * (raw if raw > 0 else 1e-6)
+        part_ = lines.mapInArrow(_best(vocabulary, weights, np.array([q for q, _ in block], np.int64), max(average, 1e-9), k, digits, key), f"query_id long, {key} long, score double")
+        out = part_ if out is None else out.unionByName(part_)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return out.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).withColumnRenamed("query_id", query_key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def chunks_by_qualified(names: DataFrame, chunks: DataFrame, symbols: DataFrame)
 
 def symbols_by_name(symbols: DataFrame, name: str, top_k: int = 10) -> DataFrame:
     """BM25 (all terms) over names and signatures, exact names first."""
-    found = bm25(symbols, name.replace(".", " ").replace("(", "").replace(")", ""), "qualified_name", ["name", "signature"], keep=["name", "file_path", "symbol_type"])
+    found = bm25(symbols, re.sub("[.()]+", " ", name), "qualified_name", ["name", "signature"], keep=["name", "file_path", "symbol_type"])
     last = name.rpartition(".")[2]
     return found.orderBy(F.desc(F.col("name") == last), F.desc("score"), "qualified_name").limit(top_k)
 
