@@ -5,17 +5,17 @@ is a run of consecutive lines that a document has in common, in the same order,
 earlier one (by doc_id), and that has ``min_words`` words or more.  Blocks are deleted
 from the later document.
 
-1. Lines become 64-bit hashes.  For each hash that several documents hold, the first of
+1. Lines become 64-bit hashes, and so do *windows*: from each line on, and up to each
+   line, the shortest run of lines that has ``min_words``.  Every block is a union of
+   windows, and common short lines (a licence notice, a greeting) are in none unless they
+   stand in a longer passage.  For each window that several documents hold, the first of
    them is its holder (a pre-aggregated minimum; no group of holders is ever collected).
-2. A document's lines with an earlier holder fall into runs; runs of fewer words than
-   ``min_words`` can't hold a block and are left out.  What remains are the rare lines
-   that tell overlapping documents: common short lines (a licence notice, a greeting)
-   drop out unless they stand in a longer shared passage, at whatever frequency.
-3. Each remaining line pairs its document with the line's holder, so pairs grow with
-   lines, never with the square of a group.  Equal documents are one class before that,
-   and only its first is aligned; the others are repeats of it as a whole.
+2. Each window pairs its document with the window's holder, which has all of the window,
+   so pairs grow with lines, never with the square of a group.
+3. Equal documents are one class before that, and only its first is aligned; the others
+   are repeats of it as a whole.
 4. Each pair's line hashes are aligned with patience diff, and the aligned blocks are
-   marked in the later document.  The first holder of a line is never the later document
+   marked in the later document.  The first document with a line is never the later one
    for it, so one copy of every line stays somewhere.
 
 Nulls: a null text has no lines; a null doc_id comes last.  Of rows that repeat a doc_id
@@ -129,24 +129,31 @@ def _doc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(np.diff(rows).astype(np.int32)), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(n.astype(np.int32)))], ["doc_id", "uid", "no_id", "n", "hashes", "weights"])
 
 
-def _runs(min_words: int):
-    """Per document: the distinct earlier holders of lines that stand in runs of enough words."""
+WINDOWS = "uid long, ord struct<no_id: boolean, doc_id: long, uid: long>, h long, from int, to int"
 
+
+def windows(hashes: np.ndarray, weights: np.ndarray, rows: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the shortest runs of lines that have ``min_words`` from each line on, and up to each line; none crosses a row."""
+    words = np.concatenate([[0], np.cumsum(weights)])
+    at = np.arange(len(hashes))
+    row = np.searchsorted(rows, at, "right") - 1
+    end = np.searchsorted(words, words[:-1] + min_words)
+    start = np.searchsorted(words, words[1:] - min_words, "right") - 1
+    on, back = end <= rows[row + 1], (words[1:] >= min_words) & (start >= rows[row])
+    s, e = np.concatenate([at[on], start[back]]), np.concatenate([end[on], at[back] + 1])
+    s, e = np.divmod(np.unique(s * (len(hashes) + 1) + e), len(hashes) + 1)
+    return hash_spans(sums(hashes), s, e), s, e
+
+
+def _windows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            later, holder = [], []
-            for uid, held in zip(*(c.to_pylist() for c in batch.columns)):
-                pos = [r["pos"] for r in held]
-                first, words = 0, 0
-                for k, r in enumerate(held):
-                    words += r["weight"]
-                    if k + 1 == len(held) or pos[k + 1] != pos[k] + 1:
-                        if words >= min_words:
-                            for x in {q["holder"] for q in held[first : k + 1]}:
-                                later.append(uid)
-                                holder.append(x)
-                        first, words = k + 1, 0
-            yield pa.RecordBatch.from_arrays([pa.array(later, pa.int64()), pa.array(holder, pa.int64())], ["uid", "holder"])
+            rows = np.concatenate([[0], np.cumsum(batch.column(2).to_numpy())])
+            lists = [batch.column(k).flatten().to_numpy() for k in (3, 4)]
+            h, s, e = windows(lists[0].view(np.uint64), lists[1].astype(np.int64), rows, min_words)
+            row = np.searchsorted(rows, s, "right") - 1
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(h.view(np.int64)), pa.array((s - rows[row]).astype(np.int32)), pa.array((e - rows[row]).astype(np.int32))], ["uid", "ord", "h", "from", "to"])
 
     return run
 
@@ -177,11 +184,10 @@ def overlaps(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, t
     repeats = some.join(classes, "cls").filter(F.col("uid") != F.col("first.uid")).filter(whole >= min_words).select("uid", F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to"))).alias("parts"))
     # copies that are too short to be deleted hold nothing that is long enough either
     single = tmp.keep(some.join(classes.select(F.col("first.uid").alias("uid")), "uid", "left_semi").select("uid", order.alias("ord"), "n", "hashes", "weights"), "single")
-    each = single.select("uid", "ord", F.posexplode(F.arrays_zip("hashes", "weights")).alias("pos", "line")).select("uid", "ord", "pos", F.col("line.hashes").alias("h"), F.col("line.weights").alias("weight"))
+    each = single.mapInArrow(_windows(min_words), WINDOWS)
     first = each.groupBy("h").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).filter("low <> high").select("h", "low")
-    shared = each.join(first, "h").filter("low < ord").select("uid", F.struct("pos", "weight", F.col("low.uid").alias("holder")).alias("item"))
-    per = shared.groupBy("uid").agg(F.sort_array(F.collect_list("item")).alias("held"))
-    pairs = per.mapInArrow(_runs(min_words), "uid long, holder long")
+    shared = each.join(first, "h").filter("low < ord")
+    pairs = shared.select("uid", F.col("low.uid").alias("holder")).distinct()
     a = single.select(F.col("uid").alias("holder"), F.col("hashes").alias("a"))
     b = single.select("uid", F.col("hashes").alias("b"), F.col("weights").alias("w"))
     marks = pairs.join(a, "holder").join(b, "uid").select("uid", "a", "b", "w").mapInArrow(_align(min_words), "uid long, from int, to int")

@@ -104,3 +104,10 @@ def test_long_list_path(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(L, "LISTED", -1)
     assert one == sorted(map(str, L.line_dedup(spark, docs).collect()))
     assert np.array_equal(one, one)
+
+
+def test_lines_of_several_holders(spark, tmp_path):
+    one, two = (" ".join(f"{c}{k}" for k in range(12)) for c in "pq")
+    rows = [(1, one + "\nfirst"), (2, two + "\nsecond"), (3, f"third\n{one}\n{two}"), (4, f"fourth\n{one}\n{two}\nend")]
+    got = {r["doc_id"]: r["text"] for r in L.line_dedup(spark, documents(spark, tmp_path, rows), 20).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: "fourth\nend"}
