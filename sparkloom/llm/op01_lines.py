@@ -1,22 +1,21 @@
-"""Line deduplication by pairwise alignment.
+"""Line deduplication against all earlier documents.
 
 A line is the sequence of its words; lines without words are passed over.  A *block*
 is a run of consecutive lines that a document has in common, in the same order, with an
 earlier one (by doc_id), and that has ``min_words`` words or more.  Blocks are deleted
-from the later document.
+from the later document, wherever they stand and as often as they stand there.
 
 1. Lines become 64-bit hashes, and so do *windows*: from each line on, and up to each
-   line, the shortest run of lines that has ``min_words``.  Every block is a union of
-   windows, and common short lines (a licence notice, a greeting) are in none unless they
-   stand in a longer passage.  For each window that several documents hold, the first of
-   them is its holder (a pre-aggregated minimum; no group of holders is ever collected).
-2. Each window pairs its document with the window's holder, which has all of the window,
-   so pairs grow with lines, never with the square of a group.
-3. Equal documents are one class before that, and only its first is aligned; the others
-   are repeats of it as a whole.
-4. Each pair's line hashes are aligned with patience diff, and the aligned blocks are
-   marked in the later document.  The first document with a line is never the later one
-   for it, so one copy of every line stays somewhere.
+   line, the shortest run of lines that has ``min_words``.  Each line of a block is in a
+   window inside the block, so the windows with an earlier document are the blocks, and no
+   pair of documents need be aligned.  Common short lines (a licence notice, a greeting)
+   are in no such window unless they stand in a longer passage.
+2. For each window that several documents hold, the first of them is its holder (a
+   pre-aggregated minimum; no group of holders is ever collected); the window is marked in
+   the others.  What moves grows with lines, never with the square of a group.
+3. Equal documents are one class before that, and only its first is looked at; the others
+   are repeats of it as a whole.  The first document with a line is never a later one for
+   it, so one copy of every line stays somewhere.
 
 Nulls: a null text has no lines; a null doc_id comes last.  Of rows that repeat a doc_id
 the first by scan position is the earlier.  Texts without a block are unchanged.  Empty
@@ -106,16 +105,17 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def blocks(a: list[int], b: list[int], weight: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Ranges [from, to) of b's lines that are aligned, without a break on either side, to a's, with enough words."""
-    out, run = [], None
-    for x, y in [*patience(a, b), (-9, -9)]:
-        if run and (x, y) == (run[0] + run[2], run[1] + run[2]):
-            run[2] += 1
-            continue
-        if run and sum(weight[run[1] : run[1] + run[2]]) >= min_words:
-            out.append((run[1], run[1] + run[2]))
-        run = [x, y, 1]
-    return out
+    """The longest ranges [from, to) of b's lines that stand in a as they are, anywhere and however often, with enough words.
+    ``overlaps`` marks the same lines against all earlier documents at once; this is for two of them."""
+    where: dict[int, list[int]] = {}
+    for x, h in enumerate(a):
+        where.setdefault(h, []).append(x)
+    found, before = set(), {}
+    for y in range(len(b) + 1):
+        now = {x: before.get(x - 1, y) for x in where.get(b[y], ())} if y < len(b) else {}
+        found |= {(first, y) for x, first in before.items() if x + 1 not in now and sum(weight[first:y]) >= min_words}
+        before = now
+    return [r for r in sorted(found) if not any(q != r and q[0] <= r[0] and r[1] <= q[1] for q in found)]
 
 
 DOC_LINES = "doc_id long, uid long, no_id boolean, n int, hashes array<long>, weights array<int>"
@@ -158,20 +158,6 @@ def _windows(min_words: int):
     return run
 
 
-def _align(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uid, start, end = [], [], []
-            for u, a, b, w in zip(*(c.to_pylist() for c in batch.columns)):
-                for x, y in blocks(a, b, w, min_words):
-                    uid.append(u)
-                    start.append(x)
-                    end.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["uid", "from", "to"])
-
-    return run
-
-
 def overlaps(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, tmp: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, uid, n, ...; deletions: uid, parts - ranges of lines, sorted, possibly overlapping)."""
     tmp = tmp or Scratch(spark, "lines")
@@ -187,11 +173,7 @@ def overlaps(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, t
     each = single.mapInArrow(_windows(min_words), WINDOWS)
     first = each.groupBy("h").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).filter("low <> high").select("h", "low")
     shared = each.join(first, "h").filter("low < ord")
-    pairs = shared.select("uid", F.col("low.uid").alias("holder")).distinct()
-    a = single.select(F.col("uid").alias("holder"), F.col("hashes").alias("a"))
-    b = single.select("uid", F.col("hashes").alias("b"), F.col("weights").alias("w"))
-    marks = pairs.join(a, "holder").join(b, "uid").select("uid", "a", "b", "w").mapInArrow(_align(min_words), "uid long, from int, to int")
-    found = marks.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("parts"))
+    found = shared.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("parts"))
     return held, tmp.keep(found.unionByName(repeats), "deletions")
 
 

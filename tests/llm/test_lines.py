@@ -111,3 +111,35 @@ def test_lines_of_several_holders(spark, tmp_path):
     rows = [(1, one + "\nfirst"), (2, two + "\nsecond"), (3, f"third\n{one}\n{two}"), (4, f"fourth\n{one}\n{two}\nend")]
     got = {r["doc_id"]: r["text"] for r in L.line_dedup(spark, documents(spark, tmp_path, rows), 20).collect()}
     assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: "fourth\nend"}
+
+
+def earlier_runs(rows, min_words):
+    """Kept lines, by every run of lines and every earlier document."""
+    split = [[x for x in t.split("\n") if words(x)] for _, t in rows]
+    runs, kept = set(), {}
+    for (d, _), ls in zip(rows, split):
+        key = [tuple(words(x)) for x in ls]
+        mine = [(a, b) for a in range(len(key)) for b in range(a + 1, len(key) + 1) if sum(map(len, key[a:b])) >= min_words]
+        gone = {k for a, b in mine if tuple(key[a:b]) in runs for k in range(a, b)}
+        kept[d] = [x for k, x in enumerate(ls) if k not in gone]
+        runs |= {tuple(key[a:b]) for a, b in mine}
+    return kept
+
+
+def test_repeated_and_crossed_passages(spark, tmp_path):
+    p, q = ("\n".join(f"{c} passage line {k} with words" for k in range(8)) for c in "pq")
+    one = " ".join(f"o{k}" for k in range(60))
+    rows = [(1, f"a\n{p}\nz"), (2, f"b\n{p}\nc\n{p}\nd"), (3, f"e\n{q}\nf\n{p}\ng"), (4, f"h\n{p}\ni\n{q}\nj"), (5, f"k\n{one}\nl\n{one}\nm"), (6, f"n\n{one}\no")]
+    rows += [(10 + i, t) for i, t in corpus(3)]
+    got = {r["doc_id"]: [x for x in r["text"].split("\n") if words(x)] for r in L.line_dedup(spark, documents(spark, tmp_path, rows), 20).collect()}
+    assert got == earlier_runs(rows, 20)
+    assert got[2] == ["b", "c", "d"] and got[4] == ["h", "i", "j"] and got[6] == ["n", "o"]
+
+
+def test_blocks():
+    r = random.Random(5)
+    for _ in range(300):
+        a, b = ([r.randrange(5) for _ in range(r.randint(0, 12))] for _ in "ab")
+        marked = {k for x, y in L.blocks(a, b, [2] * len(b), 6) for k in range(x, y)}
+        runs = {tuple(a[x:y]) for x in range(len(a)) for y in range(x + 3, len(a) + 1)}
+        assert marked == {k for x in range(len(b)) for y in range(x + 3, len(b) + 1) if tuple(b[x:y]) in runs for k in range(x, y)}
