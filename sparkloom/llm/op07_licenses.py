@@ -1,14 +1,18 @@
 """Licence scans by sentence-rule recognition.
 
-A text is cut into sentences (at newlines, and after ``. ! ?`` before white space or the
-end), a sentence is normalised to its lower-case words of letters and digits, and known
-licence sentences become identifiers.  The sequence of identifiers of a document, with
-their sentence numbers, is matched against ordered rules: the identifiers of a rule in
-order, at most ``gap`` other sentences between neighbours.  A match that lies inside a
-longer one counts for the longer only.
-
-Sentences are recognised by 64-bit hashes over whole batches of text; only documents
-with a hit are looked at one by one.  Rules are a fixed table of the program (or the
+A text is a sequence of lower-case words of letters and digits.  Known licence sentences
+become identifiers where their words stand, those of fewer than ``FREE`` words only
+between two cuts; cuts are line ends, white space after ``. ! ? ; :`` or a URL, and list
+marks at the start of a line.  What stands inside a sentence doesn't matter: a line end
+there is white space, and comment marks are no words, so wrapped and commented texts are
+recognised as one-line ones are.  The
+identifiers of a document, in order, are matched against ordered rules: the identifiers
+of a rule in order, at most ``gap`` other sentences between neighbours (these end at
+``. ! ?`` and blank lines).  A match that lies inside a longer one counts for the longer
+only.  Sentence numbers, as they are reported, count line ends as ends too.
+
+Sentences are recognised by 64-bit hashes over whole batches of text, where two
+words begin a known one; only documents with a hit are looked at one by one.  Rules are a fixed table of the program (or the
 caller's), not of the data.
 
 Nulls: a null text has no sentences; a null doc_id passes.  Rows that repeat a doc_id
@@ -30,6 +34,7 @@ from .textbytes import BYTE_VALUE, LOWER, SPACE, hash_spans, pieces, spans, sums
 from .work import table
 
 GAP = 2
+FREE = 16
 
 SENTENCES: dict[str, list[str]] = {
     "apache-short": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");", "Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0."],
@@ -105,58 +110,102 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
 
-def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each normalised sentence that has words, rows' offsets among them)."""
-    s, e, at = spans(_PLAIN[data], off)
-    if not len(s):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    word = hash_spans(sums(BYTE_VALUE[LOWER[data]]), s, e)
-    ends = data == 0x0A
-    ends[:-1] |= _STOP[data[:-1]] & SPACE[data[1:]]
-    number = np.concatenate([[0], np.cumsum(ends)])[s]
-    row = np.searchsorted(at, np.arange(len(s)), "right") - 1
-    first = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (row[1:] != row[:-1])]))
-    return hash_spans(sums(word), first, np.append(first[1:], len(s))), np.searchsorted(first, at)
+_PAUSE = np.zeros(256, bool)
+_PAUSE[[ord(c) for c in ";:"]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".)"]] = True
+
+
+class Words:
+    """The words of a piece: prefix sums of their hashes, rows, sentence numbers and cuts."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        s, e, self.at = spans(_PLAIN[data], off)
+        self.n = len(s)
+        self.prefix = sums(hash_spans(sums(BYTE_VALUE[LOWER[data]]), s, e))
+        self.row = np.searchsorted(self.at, np.arange(self.n), "right") - 1
+        before = lambda inside: np.concatenate([[0], np.cumsum(inside)])[s]
+        new = lambda number: np.concatenate([[True], (number[1:] != number[:-1]) | (self.row[1:] != self.row[:-1])])[: self.n]
+        stop, pause = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        stop[:-1] = _STOP[data[:-1]] & SPACE[data[1:]]
+        pause[:-1] = _PAUSE[data[:-1]] & SPACE[data[1:]]
+        line, stops = before(data == 0x0A), before(stop)
+        #: first words of sentences that end at line ends and stops
+        self.first = np.flatnonzero(new(line + stops))
+        self.sentence = np.cumsum(new(stops) | (np.diff(line, prepend=0) > 1))
+        self.cut = new(line + stops) | new(before(pause))
+        mark = np.flatnonzero(new(line) & (e - s <= 3))
+        mark = mark[mark + 1 < self.n]
+        self.cut[mark[_MARK[data[e[mark]]] & SPACE[data[np.minimum(e[mark] + 1, len(data) - 1)]]] + 1] = True
+        url = np.flatnonzero(data == 0x3A)
+        url = url[url + 2 < len(data)]
+        url = url[(data[url + 1] == 0x2F) & (data[url + 2] == 0x2F)]
+        if len(url):
+            space = np.flatnonzero(SPACE[data])
+            after = np.searchsorted(space, url)
+            word = np.searchsorted(s, space[after[after < len(space)]])
+            self.cut[word[word < self.n]] = True
+        self.cut = np.append(self.cut, True)
+
+    def find(self, book: Book) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first words, words past the last, indexes of names) of known sentences, short ones between cuts, the longest of a name at a word."""
+        past = self.at[self.row + 1] if self.n else self.row
+        start = np.flatnonzero(np.arange(self.n) + book.head <= past)
+        start = start[np.isin(hash_spans(self.prefix, start, start + book.head), book.heads)]
+        got: dict[tuple[int, int], int] = {}
+        for n, (hashes, names) in book.lengths.items():
+            a = start[start + n <= past[start]]
+            if n < FREE:
+                a = a[self.cut[a] & (self.cut[a + n] | (a + n == past[a]))]
+            h = hash_spans(self.prefix, a, a + n)
+            on = np.isin(h, hashes)
+            for w, name in zip(a[on].tolist(), names[np.searchsorted(hashes, h[on])].tolist()):
+                got[w, name] = max(got.get((w, name), 0), w + n)
+        found = np.array(sorted((w, end, name) for (w, name), end in got.items()), np.int64).reshape(-1, 3)
+        return found[:, 0], found[:, 1], found[:, 2]
 
 
 class Book:
-    """Hashes of known sentences, and rules over their identifiers."""
+    """Known sentences by their numbers of words and hashes, and rules over their identifiers."""
 
     def __init__(self, known: dict[str, list[str]] = SENTENCES, rules: tuple[Rule, ...] = RULES, gap: int = GAP):
         self.gap = gap
-        names, texts = zip(*((k, t) for k, v in known.items() for t in v))
-        # each is hashed as a text; where it holds a stop inside, as its last part would do too
-        raw = [t.replace("\n", " ").encode() for t in texts]
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        h, rows = sentences(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-        found: dict[int, str] = {}
-        for name, a, b in zip(names, rows[:-1].tolist(), rows[1:].tolist()):
-            if b - a == 1:
-                found.setdefault(int(h[a]), name)
-        self.hashes = np.array(sorted(found), np.uint64)
-        self.names = [found[int(x)] for x in self.hashes]
+        self.names = list(known)
+        which, texts = zip(*((k, t) for k, v in enumerate(known.values()) for t in v))
+        raw = [t.encode() for t in texts]
+        words = Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        count = np.diff(words.at)
+        self.head = min(2, int(count.min()))
+        self.heads = np.unique(hash_spans(words.prefix, words.at[:-1], words.at[:-1] + self.head))
+        h = hash_spans(words.prefix, words.at[:-1], words.at[1:])
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(count).tolist():
+            hashes, at = np.unique(h[count == n], return_index=True)
+            self.lengths[n] = hashes, np.array(which)[count == n][at]
         self.starts: dict[str, list[Rule]] = {}
         for r in rules:
             self.starts.setdefault(r.sentences[0], []).append(r)
 
-    def match(self, ids: list[str], number: list[int]) -> list[tuple[str, str, int, int]]:
-        """(license, rule, first sentence, last sentence) of the longest matches."""
+    def match(self, ids: list[str], number: list[int], hits: list[tuple[int, ...]] | None = None) -> list[tuple[str, str, int, int]]:
+        """(license, rule, first sentence, last sentence) of the longest matches.  hits: (first and last word, first and last sentence for gaps,
+        number of the last sentence); without them each identifier is a sentence as numbered."""
+        hits = hits or [(n,) * 5 for n in number]
         got = []
         for k, first in enumerate(ids):
             for rule in self.starts.get(first, ()):
                 at = k
                 for want in rule.sentences[1:]:
-                    at = next((j for j in range(at + 1, len(ids)) if ids[j] == want and number[j] - number[at] <= self.gap + 1), -1)
+                    at = next((j for j in range(at + 1, len(ids)) if ids[j] == want and hits[j][0] > hits[at][1] and hits[j][2] - hits[at][3] <= self.gap + 1), -1)
                     if at < 0:
                         break
                 if at >= 0:
-                    got.append((rule.license, rule.name, number[k], number[at], len(rule.sentences)))
-        got.sort(key=lambda g: (g[2], -g[4], g[3]))
+                    got.append((rule.license, rule.name, number[k], hits[at][4], len(rule.sentences), hits[k][0], hits[at][1]))
+        got.sort(key=lambda g: (g[5], -g[4], g[6]))
         out, reach = [], -1
         for g in got:
-            if g[3] > reach:
+            if g[6] > reach:
                 out.append(g[:4])
-                reach = g[3]
+                reach = g[6]
         return out
 
 
@@ -171,14 +220,16 @@ def licenses(docs: DataFrame, book: Book | None = None, key: str = "doc_id", tex
             n = np.zeros(batch.num_rows, np.int64)
             found: list[list[tuple[str, str, int, int]]] = [[] for _ in range(batch.num_rows)]
             for a, b, data, off in pieces(batch.column(1)):
-                h, rows = sentences(data, off)
+                words = Words(data, off)
+                rows = np.searchsorted(words.first, words.at)
                 n[a:b] = np.diff(rows)
-                hit = np.flatnonzero(np.isin(h, book.hashes))
-                row = np.searchsorted(rows, hit, "right") - 1
+                w0, w1, name = words.find(book)
+                row, w1 = words.row[w0], w1 - 1
+                from_, to = (np.searchsorted(words.first, w, "right") - 1 - rows[row] for w in (w0, w1))
+                hits = np.stack([w0, w1, words.sentence[w0], words.sentence[w1], to], 1)
                 for r in np.unique(row).tolist():
-                    mine = hit[row == r] if len(hit) < 64 else hit[np.searchsorted(row, r) : np.searchsorted(row, r, "right")]
-                    ids = [book.names[k] for k in np.searchsorted(book.hashes, h[mine]).tolist()]
-                    found[a + r] = book.match(ids, (mine - rows[r]).tolist())
+                    mine = slice(*np.searchsorted(row, [r, r + 1]).tolist())
+                    found[a + r] = book.match([book.names[k] for k in name[mine].tolist()], from_[mine].tolist(), list(map(tuple, hits[mine].tolist())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n), pa.array([sorted({f[0] for f in x}) for x in found], pa.list_(pa.string())), pa.array([[dict(zip(("license", "rule", "from_sentence", "to_sentence"), f)) for f in x] for x in found], pa.list_(match))],
                 ["doc_id", "n_sentences", "licenses", "matches"],

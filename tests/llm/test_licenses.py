@@ -52,3 +52,32 @@ def test_all(spark, sf):
         g = got[r["doc_id"]]
         assert ([tuple(m) for m in g["matches"]], g["n_sentences"]) == (match, n)
     assert sum(bool(g["licenses"]) for g in got.values()) > 5
+
+
+HOLDER = "Copyright (c) 2020 A. Holder\n\n"
+WHOLE = {
+    "MIT": HOLDER + "{mit-grant}\n\n{mit-notice}\n\n{mit-as-is} IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.",
+    "BSD-3-Clause": HOLDER + "{bsd-grant}\n\n1. {bsd-source}\n\n2. {bsd-binary}\n\n3. {bsd-endorse}\n\nTHIS SOFTWARE IS PROVIDED AS IT IS.",
+    "BSD-2-Clause": HOLDER + "{bsd-grant}\n\n(a) {bsd-source}\n\n(b) {bsd-binary}",
+    "GPL-3.0": "{gpl-free}\n\n{gpl-hope} {gpl-see}\n\nYou should have received a copy.",
+    "GPL-2.0": "{gpl2-free}\n\n{gpl-hope} {gpl-see}",
+    "ISC": HOLDER + "{isc-grant}\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.",
+    "MPL-2.0": "{mpl2} If a copy of the MPL was not distributed with this file, You can obtain one.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); {apache-use} {apache-copy}\n\n    http://www.apache.org/" "licenses/LICENSE-2.0\n\n{apache-basis} {apache-see}",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_published_texts(spark, tmp_path, mark):
+    import textwrap
+
+    rows, want = [], {}
+    for name, text in WHOLE.items():
+        whole = re.sub(r"\{([\w-]+)\}", lambda m: Q.SENTENCES[m[1]][0], text)
+        wrapped = "\n\n".join(textwrap.fill(p.strip(), 72, initial_indent="    " if p.startswith(" ") else "", break_long_words=False, break_on_hyphens=False) for p in whole.split("\n\n"))
+        for t in (wrapped, " ".join(whole.split())):
+            want[len(rows)] = [name]
+            rows.append((len(rows), "Some words before\n\n" + "\n".join((mark + x).rstrip() for x in t.split("\n")) + "\n\nand after."))
+    got = {r["doc_id"]: r for r in Q.licenses(documents(spark, tmp_path, rows)).collect()}
+    assert {d: r["licenses"] for d, r in got.items()} == want
+    assert all(m["rule"] in ("text", "notice") for r in got.values() for m in r["matches"])
