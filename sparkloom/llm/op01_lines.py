@@ -4,6 +4,8 @@ A line is the sequence of its words; lines without words are passed over.  A *bl
 is a run of consecutive lines that a document has in common, in the same order, with an
 earlier one (by doc_id), and that has ``min_words`` words or more.  Blocks are deleted
 from the later document, wherever they stand and as often as they stand there.
+A passage that repeats inside longer, otherwise different lines isn't a block and stays
+(figures in the README).
 
 1. Lines become 64-bit hashes, and so do *windows*: from each line on, and up to each
    line, the shortest run of lines that has ``min_words``.  Each line of a block is in a
