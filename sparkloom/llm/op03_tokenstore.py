@@ -360,10 +360,10 @@ class Store:
         return keys.select("shard", "doc_id", "occurrence").mapInArrow(run, shape)
 
     def route(self, keys: DataFrame) -> DataFrame:
-        """shard, doc_id, occurrence for a table of doc_ids: the shards whose range holds each."""
-        shards = self.shards.select("shard", "first_id", "last_id")
-        known = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        return known.join(shards, (F.col("doc_id") >= F.col("first_id")) & (F.col("doc_id") <= F.col("last_id"))).select("shard", "doc_id", F.lit(0).alias("occurrence")).repartition("shard").sortWithinPartitions("shard")
+        """shard, doc_id, occurrence of every document that has one of a table's doc_ids, null included; ids that aren't there have none."""
+        known = keys.select(F.col("doc_id").cast("long").alias("key"))
+        at = self.documents.join(known, F.col("doc_id").eqNullSafe(F.col("key")), "left_semi")
+        return at.select("shard", "doc_id", "occurrence").repartition("shard").sortWithinPartitions("shard")
 
 
 def write_store(spark: SparkSession, docs: DataFrame, tokenizer: str, uri: str | None = None, end: int = END, shards: int | None = None) -> Store:

@@ -117,3 +117,11 @@ def test_store_query(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
     got = S.op3_token_store(spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     assert sorted(map(tuple, got)) == expected(rows)
+
+
+def test_route_finds_all(spark, tmp_path):
+    rows = [(1, "same"), (1, "same"), (1, "other"), (2, "x"), (None, "no id"), (None, "none")]
+    store = S.write_store(spark, documents(spark, tmp_path, rows), C.tokenizer_path("byte_bpe_50k.json"), shards=2)
+    keys = spark.createDataFrame([(1,), (None,), (1,), (7,)], "doc_id long")
+    got = store.look_up(store.route(keys)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "1", "None", "None"] and all(r["offset"] >= 0 for r in got)
