@@ -12,11 +12,13 @@ Items are spread over packing groups of about ``group_items`` by a hash of docum
 and copy, so each task packs a bounded number of items and a hot source or cluster
 lies in all groups alike.  Bins of different groups never meet; every group leaves at
 most a few part-filled bins.  Only (doc_id, size, source, cluster) is shuffled.
-Equal rows are counted before that, and told apart by a copy number.
+Rows of equal doc_id, source, cluster and size are counted before that, and told apart
+by a copy number.
 
 Nulls: a null or blank text has size 0 and no bin (bin_id null); a null source is a
 source like others; a null cluster, or the empty text's, conflicts with none.  Rows
-that repeat a doc_id are separate items.  Empty tables give empty results.
+that repeat a doc_id are separate items, and bins are numbered within their group, so no
+two bins share a number.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -91,24 +93,33 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pack(capacity: int, per_source: int):
     names = ["doc_id", "copy", "piece", "size", "source", "cluster", "bin_id"]
-
-    def done(group: int, rows: list[tuple]) -> pa.RecordBatch:
-        bins = best_fit([(r[3], r[4], r[5]) for r in rows], capacity, per_source)
-        columns = list(zip(*rows))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array([(group << 32) | b for b in bins], pa.int64())], names)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+
+    def done(group: int | None, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """rows: (doc_id, copy, full bins, size of the rest, source, cluster)."""
+        if group is None:
+            return
+        packed = [r for r in rows if r[3]]
+        bins = best_fit([(r[3], r[4], r[5]) for r in packed], capacity, per_source)
+        if packed:
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*packed), kinds)), pa.array([(group << 32) | b for b in bins], pa.int64())], names)
+        at = (group << 32) | max(bins, default=-1) + 1
+        for doc, copy, whole, _, source, cluster in rows:  # full bins need no search
+            for lo in range(0, whole, 65536):
+                n = min(65536, whole - lo)
+                same = [pa.array([v] * n, k) for v, k in zip((doc, copy, capacity, source, cluster), (kinds[0], kinds[1], kinds[3], kinds[4], kinds[5]))]
+                yield pa.RecordBatch.from_arrays([*same[:2], pa.array(np.arange(lo, lo + n)), *same[2:], pa.array(np.arange(at, at + n))], names)
+                at += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
             for group, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if group != now:
-                    if rows:
-                        yield done(now, rows)
+                    yield from done(now, rows)
                     now, rows = group, []
                 rows.append(tuple(row))
-        if rows:
-            yield done(now, rows)
+        yield from done(now, rows)
 
     return run
 
@@ -126,17 +137,12 @@ def pack(spark: SparkSession, docs: DataFrame, cluster: Column | None = None, ca
     total = counted.agg(F.sum(F.col("copies") * F.ceil(F.col("size") / capacity))).first()[0] or 0
     groups = max(1, -(-int(total) // group_items))
     items = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    whole = (F.col("size") / capacity).cast("long")
-    # full bins need no search: they are settled where they are
-    full = items.filter(F.col("size") >= capacity).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)))
-    lone = F.xxhash64("doc_id", "cluster", "source", "copy", "piece").bitwiseAND(0x3FFFFFFFFFFFFFFF) * -1 - 1
-    full = full.select("doc_id", "copy", "piece", F.lit(capacity).cast("long").alias("size"), "source", "cluster", lone.alias("bin_id"))
-    rest = items.withColumn("piece", whole).withColumn("size", F.col("size") % capacity).filter("size > 0")
-    rest = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", "source", "copy"), F.lit(groups)).cast("int"))
-    rest = rest.select("group", "doc_id", "copy", "piece", "size", "source", "cluster").repartition("group").sortWithinPartitions("group", F.desc("size"), "doc_id", "source", "cluster", "copy")
+    rest = items.filter("size > 0").withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", "source", "size", "copy"), F.lit(groups)).cast("int"))
+    rest = rest.select("group", "doc_id", "copy", (F.col("size") / capacity).cast("long").alias("whole"), (F.col("size") % capacity).alias("size"), "source", "cluster")
+    rest = rest.repartition("group").sortWithinPartitions("group", F.desc("size"), "doc_id", "source", "cluster", "copy", "whole")
     packed = rest.mapInArrow(_pack(capacity, per_source), "doc_id long, copy long, piece long, size long, source string, cluster long, bin_id long")
     none = items.filter("size = 0").select("doc_id", "copy", F.lit(0).cast("long").alias("piece"), "size", "source", "cluster", F.lit(None).cast("long").alias("bin_id"))
-    return packed.unionByName(full).unionByName(none)
+    return packed.unionByName(none)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
