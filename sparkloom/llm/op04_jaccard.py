@@ -368,8 +368,12 @@ def _verify(percent: int):
 
 def jaccard_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, block_classes: int = BLOCK_CLASSES, light_most: int | None = None) -> DataFrame:
     """One row per document: doc_id, uid, n_shingles, n_similar, component_id, keep_uid (the row that represents its component)."""
+    return _groups(spark, numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "uid"), percent, block_tokens, block_classes, light_most)
+
+
+def _groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS, block_classes: int = BLOCK_CLASSES, light_most: int | None = None) -> DataFrame:
+    """docs: doc_id, uid, text."""
     tmp = Scratch(spark, "jaccard")
-    docs = numbered(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "uid")
     plan = _Plan(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))  # noqa: SLF001
     sent = docs.select("doc_id", "uid", "text").mapInArrow(_scan(plan), EXCHANGE)
     back = sent.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.col("chunk"))).sortWithinPartitions("bucket", "chunk").mapInArrow(_shared(plan), EXCHANGE)
@@ -420,10 +424,11 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT,
     return out.select("doc_id", "uid", F.col("n").alias("n_shingles"), F.when(alone, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("uid")).otherwise(F.col("keep_uid")).alias("keep_uid"))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each group of linked documents, with all its columns."""
-    kept = jaccard_groups(spark, docs, **options).filter("uid = keep_uid").select(F.col("uid").alias("_sl_uid"))
-    return numbered(docs).join(kept, "_sl_uid", "left_semi").drop("_sl_uid")
+    docs = numbered(docs)
+    kept = _groups(spark, docs.select(F.col(key).cast("long").alias("doc_id"), F.col("_sl_uid").alias("uid"), F.col(text).alias("text")), **options).filter("uid = keep_uid").select(F.col("uid").alias("_sl_uid"))
+    return docs.join(kept, "_sl_uid", "left_semi").drop("_sl_uid")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,7 +193,8 @@ class Mix:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, weights: Callable[[list[str | None]], list[float]] | None = None, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, most_passes: int = MOST_PASSES, name: str = "mix"):
         tmp = Scratch(spark, name)
-        rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), "uid")
+        docs = docs if "_sl_uid" in docs.columns else numbered(docs.select("doc_id", "source", "text"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_sl_uid").alias("uid"), F.col("source").cast("string").alias("source"), "text")
         sized = tmp.keep(rows.select("doc_id", "uid", "source", "text").mapInArrow(_sizes, "doc_id long, uid long, source string, size long"), "sizes")
         found = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()  # a row for each source
         found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -240,9 +241,9 @@ class Mix:
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: one row for each document and pass, with the words that are taken then (a whole text unchanged) and all columns of ``docs``."""
+    columns, schema, docs = docs.columns, docs.schema, numbered(docs)
     mix = Mix(spark, docs, **options)
-    columns = docs.columns
-    joined = numbered(docs).join(mix.pieces().select(F.col("uid").alias("_sl_uid"), F.col("parts").alias("_sl_parts")), "_sl_uid").drop("_sl_uid")
+    joined = docs.join(mix.pieces().select(F.col("uid").alias("_sl_uid"), F.col("parts").alias("_sl_parts")), "_sl_uid").drop("_sl_uid")
     at = columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +267,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
             new[at] = pa.array(out, pa.binary()).cast(text.type)
             yield pa.RecordBatch.from_arrays(new, columns)
 
-    mixed = joined.select(*columns, "_sl_parts").mapInArrow(cut, docs.schema)
-    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else mixed
+    mixed = joined.select(*columns, "_sl_parts").mapInArrow(cut, schema)
+    return mixed.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else mixed
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

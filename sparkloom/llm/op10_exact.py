@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .work import Scratch, numbered, table
 
-HEAVY_SLOTS = 256
+HEAVY_SLOTS = 2048
 
 
 def merge_counts(summary: dict[bytes, int], new: dict[bytes, int], slots: int) -> dict[bytes, int]:
@@ -66,20 +66,26 @@ def _settle(spark: SparkSession, rows: DataFrame, slots: int) -> DataFrame:
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: Column | str = "text", normalise: Column | None = None) -> DataFrame:
+    """doc_id, uid and digest of numbered rows."""
     value = normalise if normalise is not None else F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return numbered(docs, "_sl_uid").select(F.col(key).cast("long").alias("doc_id"), F.col("_sl_uid").alias("uid"), F.unhex(F.sha2(value, 256)).alias("digest"))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col("_sl_uid").alias("uid"), F.unhex(F.sha2(value, 256)).alias("digest"))
 
 
 def exact_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", normalise: Column | None = None, heavy_slots: int = HEAVY_SLOTS) -> DataFrame:
     """One row per document: doc_id, uid, digest, keep_id, keep_uid, group_size.  ``normalise`` is the text as compared (default: unchanged)."""
+    return _groups(spark, numbered(docs), key, text, normalise, heavy_slots)
+
+
+def _groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", normalise: Column | None = None, heavy_slots: int = HEAVY_SLOTS) -> DataFrame:
     rows = Scratch(spark, "exact").keep(digests(docs, key, text, normalise), "digests")
     return _settle(spark, rows, heavy_slots)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(spark, docs, **options).filter("uid = keep_uid").select(F.col("uid").alias("_sl_uid"))
-    return numbered(docs).join(kept, "_sl_uid", "left_semi").drop("_sl_uid")
+    docs = numbered(docs)
+    kept = _groups(spark, docs, **options).filter("uid = keep_uid").select(F.col("uid").alias("_sl_uid"))
+    return docs.join(kept, "_sl_uid", "left_semi").drop("_sl_uid")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

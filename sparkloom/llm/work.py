@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +61,51 @@ class Scratch:
                 shutil.rmtree(os.path.join(self.path[7:], name), ignore_errors=True)
 
 
+#: Bits of a row's place in its file, and of the number of that file.
+ROW_BITS, FILE_BITS = 26, 37
+_PLAIN = ("plans.logical.Project", "plans.logical.Filter", "plans.logical.SubqueryAlias", "datasources.LogicalRelation")
+_SCHEME = "^[A-Za-z0-9+.-]+:/*"
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether each row is one row of a Parquet file, in every job that reads ``docs``."""
+    todo, relations = [docs._jdf.queryExecution().analyzed()], 0  # noqa: SLF001
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getName()
+        if not name.endswith(_PLAIN) or not node.deterministic():
+            return False
+        relations += name.endswith("LogicalRelation")
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return relations == 1
+
+
+def file_modulus(paths: list[str], bits: int = FILE_BITS) -> int:
+    """An odd number below 2**bits that leaves each path's hash another remainder."""
+    held = np.array([xxhash.xxh64_intdigest(re.sub(_SCHEME, "", p).encode(), 42) for p in set(paths)], np.uint64).view(np.int64)
+    for m in range((1 << bits) - 1, 1 << (bits - 1), -2):
+        if len(np.unique(np.mod(held, m))) == len(held):
+            return m
+    raise ValueError("too many files")
+
+
 def numbered(docs: DataFrame, name: str = "_sl_uid") -> DataFrame:
-    """Rows numbered by scan position.  ``docs`` must be a scan of written files, whose splits are the same in each job."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    """Rows with a number each that is the same in every job, whatever the splits and executors are.
+
+    A row of a scan of Parquet files (projections and filters on it included) has its file
+    and its place in there.  Any other table is written once, together with its numbers.
+    """
+    if "_metadata" not in (c.lower() for c in docs.columns) and _is_scan(docs):
+        try:
+            row = F.col("_metadata.row_index")
+            place = F.when(row < (1 << ROW_BITS), row).otherwise(F.raise_error(F.lit("a file of more rows than 2**26")).cast("long"))
+            path = F.xxhash64(F.regexp_replace("_metadata.file_path", _SCHEME, ""))
+            out = docs.withColumn(name, F.shiftleft(F.pmod(path, F.lit(file_modulus(docs.inputFiles()))), ROW_BITS).bitwiseOR(place))
+            out.schema  # noqa: B018 - files of another format know no row numbers
+            return out
+        except AnalysisException:
+            pass
+    return Scratch(docs.sparkSession, "numbered").keep(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 @atexit.register
