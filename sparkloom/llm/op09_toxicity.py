@@ -8,7 +8,8 @@
    model finds the likeliest word (exact over the lattice, many spans at a time).
 3. The restored text of a document gives its set of 4- to 6-letter grams, with word
    edges.  The grams that speak most for label 1 (by G-squared over the training
-   rows) feed a logistic regression; its probability is the score.
+   rows) feed a logistic regression on how dense each is in the text; its probability
+   is the score.
 
 Only rows with ``crc32(doc_id) % 5 <> 0`` are learned from, at most ``max_labelled``
 of them (those of least hash).  Everything else covers all rows and whole texts.
@@ -134,66 +135,112 @@ def _runs(span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return span[start], np.minimum(np.diff(np.append(start, len(span))), 3)
 
 
-def viterbi(spans_: list[np.ndarray], model: np.ndarray) -> list[np.ndarray]:
-    """The likeliest letters of each span of character classes: exact over each lattice, many at a time."""
-    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(spans_)
-    runs = [_runs(s) for s in spans_]
-    order = sorted((i for i in range(len(runs)) if len(runs[i][0])), key=lambda i: len(runs[i][0]))
+#: Lattices of more runs than LONG are cut where only one reading is possible; BLOCK runs are decoded with their back pointers held.
+LONG, BLOCK = 64, 65_536
+
+
+def _forward(cost: np.ndarray, kind: np.ndarray, length: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Costs after these runs (runs x lattices), and for each run and state where it came from and the option that it took."""
+    most, n = kind.shape
+    rows = np.arange(n)
+    came, chose = np.zeros((most, n, LETTERS), np.uint8), np.full((most, n, LETTERS), -1, np.int8)
+    for step in range(most):
+        on = kind[step] > 0
+        new = np.full_like(cost, np.inf)
+        new[~on] = cost[~on]
+        for o in range(_MOST):
+            w = _COST[kind[step], o, np.maximum(length[step], 1) - 1]
+            able = on & np.isfinite(w)
+            if not able.any():
+                continue
+            r, letter, times = rows[able], _LETTER[kind[step][able], o], _TIMES[kind[step][able], o]
+            none = times == 0
+            if none.any():
+                q = r[none]
+                value = cost[q] + w[able][none][:, None]
+                better = value < new[q]
+                new[q] = np.where(better, value, new[q])
+                came[step, q] = np.where(better, np.arange(LETTERS, dtype=np.uint8), came[step, q])
+                chose[step, q] = np.where(better, np.int8(o), chose[step, q])
+            some = ~none
+            if some.any():
+                q, e = r[some], letter[some]
+                into = cost[q] + model[:, e].T
+                back = into.argmin(1)
+                value = into[np.arange(len(q)), back] + w[able][some] + np.where(times[some] == 2, model[e, e], 0)
+                better = value < new[q, e]
+                q, e, back, value = q[better], e[better], back[better], value[better]
+                new[q, e], came[step, q, e], chose[step, q, e] = value, back, o
+        cost = new - np.where(on, new.min(1), 0)[:, None]  # only differences count
+    return cost, came, chose
+
+
+def _decode(parts: list[tuple[np.ndarray, np.ndarray, int, int]], model: np.ndarray) -> list[np.ndarray]:
+    """The likeliest letters of lattices (runs, lengths, letter before, letter after), many at a time."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(parts)
+    order = sorted((i for i in range(len(parts)) if len(parts[i][0])), key=lambda i: len(parts[i][0]))
     at = 0
     while at < len(order):
-        longest = len(runs[order[at]][0])
+        longest = len(parts[order[at]][0])
         room = max(1, min(1024, 200_000 // max(1, longest * 2)))
-        group = [i for i in order[at : at + room] if len(runs[i][0]) <= 2 * longest]
+        group = [i for i in order[at : at + room] if len(parts[i][0]) <= 2 * longest]
         at += len(group)
-        n, most = len(group), max(len(runs[i][0]) for i in group)
+        n, most = len(group), max(len(parts[i][0]) for i in group)
         kind, length = np.zeros((most, n), np.int64), np.zeros((most, n), np.int64)
         for k, i in enumerate(group):
-            kind[: len(runs[i][0]), k], length[: len(runs[i][0]), k] = runs[i]
+            kind[: len(parts[i][0]), k], length[: len(parts[i][0]), k] = parts[i][:2]
         rows = np.arange(n)
         cost = np.full((n, LETTERS), np.inf, np.float32)
-        cost[:, 0] = 0
-        came, chose = np.zeros((most, n, LETTERS), np.uint8), np.full((most, n, LETTERS), -1, np.int8)
-        for step in range(most):
-            on = kind[step] > 0
-            new = np.full_like(cost, np.inf)
-            new[~on] = cost[~on]
-            for o in range(_MOST):
-                w = _COST[kind[step], o, np.maximum(length[step], 1) - 1]
-                able = on & np.isfinite(w)
-                if not able.any():
-                    continue
-                r, letter, times = rows[able], _LETTER[kind[step][able], o], _TIMES[kind[step][able], o]
-                none = times == 0
-                if none.any():
-                    q = r[none]
-                    value = cost[q] + w[able][none][:, None]
-                    better = value < new[q]
-                    new[q] = np.where(better, value, new[q])
-                    came[step, q] = np.where(better, np.arange(LETTERS, dtype=np.uint8), came[step, q])
-                    chose[step, q] = np.where(better, np.int8(o), chose[step, q])
-                some = ~none
-                if some.any():
-                    q, e = r[some], letter[some]
-                    into = cost[q] + model[:, e].T
-                    back = into.argmin(1)
-                    value = into[np.arange(len(q)), back] + w[able][some] + np.where(times[some] == 2, model[e, e], 0)
-                    better = value < new[q, e]
-                    q, e, back, value = q[better], e[better], back[better], value[better]
-                    new[q, e], came[step, q, e], chose[step, q, e] = value, back, o
-            cost = new
-        state = (cost + model[:, 0]).argmin(1)
+        cost[rows, [parts[i][2] for i in group]] = 0
+        starts, held = [], None
+        for lo in range(0, most, BLOCK):  # back pointers of the last block only; earlier ones are made again on the way back
+            starts.append(cost)
+            cost, *held = _forward(cost, kind[lo : lo + BLOCK], length[lo : lo + BLOCK], model)
+        state = (cost + model[:, [parts[i][3] for i in group]].T).argmin(1)
         letters: list[list[int]] = [[] for _ in group]
-        for step in range(most - 1, -1, -1):
-            o = chose[step, rows, state]
-            for k in np.flatnonzero((kind[step] > 0) & (o >= 0)).tolist():
-                letters[k] += [int(_LETTER[kind[step, k], o[k]])] * int(_TIMES[kind[step, k], o[k]])
-            on = kind[step] > 0
-            state = np.where(on, came[step, rows, state], state)
+        for b in range(len(starts) - 1, -1, -1):
+            lo = b * BLOCK
+            came, chose = held or _forward(starts[b], kind[lo : lo + BLOCK], length[lo : lo + BLOCK], model)[1:]
+            held = None
+            for step in range(len(came) - 1, -1, -1):
+                o, on = chose[step, rows, state], kind[lo + step] > 0
+                for k in np.flatnonzero(on & (o >= 0)).tolist():
+                    letters[k] += [int(_LETTER[kind[lo + step, k], o[k]])] * int(_TIMES[kind[lo + step, k], o[k]])
+                state = np.where(on, came[step, rows, state], state)
         for k, i in enumerate(group):
             out[i] = np.array(letters[k][::-1], np.uint8)
     return out
 
 
+def viterbi(spans_: list[np.ndarray], model: np.ndarray) -> list[np.ndarray]:
+    """The likeliest letters of each span of character classes, exact over each lattice.
+
+    A letter that stands once has one reading, so a long lattice falls into independent parts
+    there; equal parts are decoded once.
+    """
+    parts: dict[tuple, int] = {}
+    held: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+    plan: list[list[int]] = []  # of each span: parts, and sure letters as negative numbers
+    for span in spans_:
+        kind, length = _runs(span)
+        cuts = np.flatnonzero((kind < LETTERS) & (length == 1)).tolist() if len(kind) > LONG else []
+        mine, lo, before = [], 0, 0
+        for hi in [*cuts, len(kind)]:
+            after = int(kind[hi]) if hi < len(kind) else 0
+            if hi > lo:
+                key = (kind[lo:hi].tobytes(), length[lo:hi].tobytes(), before, after)
+                if key not in parts:
+                    parts[key] = len(held)
+                    held.append((kind[lo:hi], length[lo:hi], before, after))
+                mine.append(parts[key])
+            if after:
+                mine.append(-after)
+            lo, before = hi + 1, after
+        plan.append(mine)
+    done = _decode(held, model)
+    return [np.concatenate([done[k] if k >= 0 else np.array([-k], np.uint8) for k in mine]) if mine else np.zeros(0, np.uint8) for mine in plan]
+
+
 # -- restored text ------------------------------------------------------------
 
 
@@ -295,7 +342,7 @@ def _row_grams(restore: Restorer, data: np.ndarray, off: np.ndarray) -> Iterator
 
 
 class Model:
-    """Grams, their weights, and the bias of a logistic regression on their presence."""
+    """Grams, their weights, and the bias of a logistic regression on their density."""
 
     def __init__(self, letters: np.ndarray, grams: np.ndarray, weights: np.ndarray, bias: float):
         order = np.argsort(grams)
@@ -310,26 +357,29 @@ class Model:
     def _hash(g: np.ndarray) -> np.ndarray:
         return ((g * U(0x9E3779B97F4A7C15)) >> U(48)).astype(np.int64)
 
-    def hits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Presence of the grams in each row of a piece, as distinct row * grams + gram."""
+    def hits(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The grams of each row of a piece: rows, grams, and how dense they are there (0 to 2)."""
         if not hasattr(self, "restore"):
             self._prepare()
         found = []
         k = len(self.grams)
+        total = np.zeros(len(off) - 1)
         if k:
             for g, row in _row_grams(self.restore, data, off):
+                total += np.bincount(row, minlength=len(total))
                 may = np.flatnonzero(self.slot[self._hash(g)])
                 at = np.minimum(np.searchsorted(self.grams, g[may]), k - 1)
                 sure = self.grams[at] == g[may]
-                found.append(np.unique(row[may[sure]] * k + at[sure]))
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                found.append(row[may[sure]] * k + at[sure])
+        key, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        row, gram = np.divmod(key, max(1, k))
+        return row, gram, np.minimum(2, np.log2(1 + n * 1500 / (total[row] + 500)))
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.empty(len(column))
-        k = max(1, len(self.grams))
         for a, b, data, off in pieces(column):
-            h = self.hits(data, off)
-            out[a:b] = self.bias + np.bincount(h // k, self.weights[h % k] if len(h) else None, minlength=b - a)
+            row, gram, x = self.hits(data, off)
+            out[a:b] = self.bias + np.bincount(row, self.weights[gram] * x if len(row) else None, minlength=b - a)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
@@ -398,17 +448,18 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
         return none
     chosen = Model(letters, np.array([r["g"] for r in top], np.int64).view(np.uint64), np.zeros(len(top)), 0.0)
 
-    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(chosen.grams)
         for batch in batches:
             for a, b, data, off in pieces(batch.column(0)):
-                x = np.zeros((b - a, k), bool)
-                x.reshape(-1)[chosen.hits(data, off)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary()), batch.column(1).slice(a, b - a)], ["x", "y"])
-
-    got = rows.mapInArrow(presence, "x binary, y int").orderBy("y", "x").toArrow()
-    bits = np.frombuffer(b"".join(got.column(0).to_pylist()), np.uint8).reshape(got.num_rows, -1)
-    weights, bias = fit_logistic(np.unpackbits(bits, axis=1)[:, : len(top)].astype(np.float32), (got.column(1).to_numpy() == 1).astype(float))
+                x = np.zeros((b - a, k), np.float16)
+                row, gram, dense = chosen.hits(data, off)
+                x[row, gram] = dense
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(a, b - a)], ["x", "y"])
+
+    got = rows.mapInArrow(density, "x binary, y int").orderBy("y", "x").toArrow()  # at most max_labelled rows of 2 bytes a gram
+    x = np.frombuffer(b"".join(got.column(0).to_pylist()), np.float16).reshape(got.num_rows, len(top))
+    weights, bias = fit_logistic(x.astype(np.float32), (got.column(1).to_numpy() == 1).astype(float))
     return Model(letters, chosen.grams, weights, bias)
 
 

@@ -74,8 +74,8 @@ def _cost(span, got, model):
 
 def test_held_out(spark):
     out = X.op9_toxicity(spark, "/root/testdata/sf0.1").join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").filter("held_out").toPandas()
-    assert (out[out.toxic == 1].predicted == 1).mean() > 0.8
-    assert (out[out.toxic == 0].predicted == 0).mean() > 0.98
+    assert (out[out.toxic == 1].predicted == 1).mean() > 0.9
+    assert (out[out.toxic == 0].predicted == 0).mean() > 0.99
     assert out.score.between(0, 1).all()
 
 
@@ -95,3 +95,29 @@ def test_edges(spark, tmp_path):
     none = labels.withColumn("toxic", F.lit(0))
     assert X.score(docs, X.fit(spark, docs, none)).filter("toxicity >= 0.5").count() == 0
     assert X.score(docs.limit(0), X.fit(spark, docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_long_lattices(model, monkeypatch):
+    """Cut where one reading is possible, and in blocks: the same letters as in one piece."""
+    r = random.Random(9)
+    chars = "abcdefgist0134$!|57"
+    cls = {c: (X._SYMBOLS[c] if c in X._SYMBOLS else ord(c) - 96) for c in chars}
+    spans = [np.array([cls[c] for c in (r.choice(chars[: r.randint(6, len(chars))]) for _ in range(n))], np.uint8) for n in (3, 70, 400, 900)]
+    spans.append(np.array([cls[r.choice("014|$")] for _ in range(700)], np.uint8))
+    cut = X.viterbi(spans, model)
+    monkeypatch.setattr(X, "BLOCK", 50)
+    blocks = X.viterbi(spans, model)
+    monkeypatch.setattr(X, "LONG", 10**9)
+    monkeypatch.setattr(X, "BLOCK", 10**9)
+    for a, b, c in zip(cut, blocks, X.viterbi(spans, model)):
+        assert a.tolist() == b.tolist() == c.tolist()
+
+
+def test_long_disguised_text(spark, tmp_path, model):
+    """A disguised span of a million characters, and empty, null and repeated rows."""
+    r = random.Random(2)
+    long = "".join(r.choices("abcxyz0123456789$", k=1_000_000))
+    docs = documents(spark, tmp_path, [(1, long), (2, None), (3, ""), (3, ""), (None, "m0r0n")], extra=("score", "toxicity"))
+    spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = X.op9_toxicity(spark, str(tmp_path)).collect()
+    assert len(out) == 5 and all(0 <= x["score"] <= 1 for x in out)
