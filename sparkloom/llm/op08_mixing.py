@@ -7,16 +7,18 @@ weight.  Its *slots* are as many blocks as make up the target, pass after pass o
 the stream; the last slot is cut, so that totals meet targets to the word.
 
 Output shards hold ``shard_slots`` slots each.  How many of them come from each source
-is a multinomial draw given the sources' totals (without replacement, so that no total
-is missed), drawn on a binary tree of shards: any task finds the counts of its shard,
-and the slots before it, in log2(shards) steps from the seed.  Slot k of a source is
+is a multinomial draw, each shard's from its own seed.  Independent draws miss the
+sources' totals by about their roots, so what goes beyond a source's slots is given, in
+order, to sources that lack some; no total is missed, at any size.  The slots that
+earlier shards drew are prefix sums over strips of shards.  Slot k of a source is
 block ``permutation(k mod blocks)`` of pass ``k div blocks``, a keyed pseudorandom
 permutation per source and pass.  Slots and blocks are then joined by index.
 
 Weights go 1, 2, 3, 1, ... to sources in code-point order, null last (or ``weights``).
 Nulls: a null text has no words, a null source is a source of its own, a null doc_id
 comes first in its stream.  Rows that repeat a doc_id are separate documents.  Texts
-without words are never taken.  Empty tables give empty results.
+without words are never taken.  Empty tables give empty results.  The table of sources
+(about 100 bytes each) is held by the driver and by each task.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .textbytes import SPACE, count_words, pieces, spans
 from .work import Scratch, numbered, table
 
 BLOCK, SHARD_SLOTS, MOST_PASSES, SEED = 256, 4096, 3, 20240229
+#: Shards that one task draws in a row.
+STRIP = 16
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST_PASSES) -> list[float]:
@@ -55,19 +59,23 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_PASSES) -
     return out
 
 
-def permutation(values: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A keyed pseudorandom permutation of range(n): a Feistel network on the next power of four, walked until it falls in range."""
+def permutation(values: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """A keyed pseudorandom permutation of range(n), or its inverse: a Feistel network on the next power of four, walked until it falls in range."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     keys = [np.uint64(int.from_bytes(hashlib.blake2b(f"{key}:{r}".encode(), digest_size=8).digest(), "little")) for r in range(4)]
+
+    def spread(y: np.ndarray, k: np.uint64) -> np.ndarray:
+        f = (y + k) * np.uint64(0x9E3779B97F4A7C15)
+        f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (f >> np.uint64(32)) & mask
+
     out = values.astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
         x, y = out[todo] >> np.uint64(half), out[todo] & mask
-        for k in keys:
-            f = (y + k) * np.uint64(0x9E3779B97F4A7C15)
-            f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            x, y = y, x ^ ((f >> np.uint64(32)) & mask)
+        for k in reversed(keys) if back else keys:
+            x, y = (y ^ spread(x, k), x) if back else (y, x ^ spread(y, k))
         out[todo] = (x << np.uint64(half)) | y
         todo = todo[out[todo] >= n]
     return out.astype(np.int64)
@@ -82,16 +90,17 @@ class Plan:
 
     def __init__(self, sizes: list[int], want: list[float], block: int, shard_slots: int, seed: int):
         self.block, self.shard_slots, self.seed = block, shard_slots, seed
-        self.sizes = sizes
-        self.blocks = [-(-s // block) for s in sizes]
-        self.slots, self.last = [], []
+        self.sizes = np.array(sizes, np.int64)
+        self.blocks = -(-self.sizes // block)
+        self.slots, self.last = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for i, (size, t) in enumerate(zip(sizes, want)):
             t = min(int(round(t)), 10**18) if size else 0
             turns, rest = divmod(t, size) if size else (0, 0)
-            short = self.blocks[i] * block - size
+            short = int(self.blocks[i]) * block - size
             k = 0
             if rest:
-                where = self._position(i, turns)
+                # where the source's last block, which may be short, comes in the last pass
+                where = int(permutation(np.array([self.blocks[i] - 1]), int(self.blocks[i]), _key(seed, i, turns), back=True)[0])
                 k = rest // block
                 if k > where:  # the short block is among them
                     k = (rest + short) // block
@@ -100,67 +109,56 @@ class Plan:
                 done = k * block - (short if k > where else 0)
                 if done > rest:
                     k, done = k - 1, (k - 1) * block - (short if k - 1 > where else 0)
-                self.last.append(rest - done)
+                self.last[i] = rest - done
                 k += rest > done
-            else:
-                self.last.append(0)
-            self.slots.append(turns * self.blocks[i] + k)
-        self.total = sum(self.slots)
+            self.slots[i] = turns * int(self.blocks[i]) + k
+        self.ends = np.cumsum(self.slots)
+        self.total = int(self.ends[-1]) if len(sizes) else 0
         self.shards = -(-self.total // shard_slots)
-
-    def _position(self, source: int, turn: int) -> int:
-        """Where the source's last block, which may be short, comes in a pass."""
-        n, key = self.blocks[source], _key(self.seed, source, turn)
-        for lo in range(0, n, 1 << 20):
-            at = np.flatnonzero(permutation(np.arange(lo, min(n, lo + (1 << 20))), n, key) == n - 1)
-            if len(at):
-                return lo + int(at[0])
-        return 0
-
-    def shard(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """(slots that each source gives to this shard, slots that it gave to earlier ones)."""
-        lo, hi = 0, self.shards
-        counts, before = np.array(self.slots, np.int64), np.zeros(len(self.slots), np.int64)
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            left = self._draw(counts, (mid - lo) * self.shard_slots, np.random.default_rng([self.seed, lo, hi]))
-            if number < mid:
-                counts, hi = left, mid
-            else:
-                counts, before, lo = counts - left, before + left, mid
-        return counts, before
-
-    @staticmethod
-    def _draw(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-        total = int(counts.sum())
-        n = min(n, total)
-        if total < 900_000_000:
-            return rng.multivariate_hypergeometric(counts, n, method="marginals")
-        # beyond the library's range the multinomial itself, moved into what is there
-        left = np.minimum(rng.multinomial(n, counts / total), counts)
-        for i in np.argsort(left - counts):
-            more = min(n - int(left.sum()), int(counts[i] - left[i]))
-            left[i] += more
-        return left
-
-    def rows(self, number: int) -> tuple[np.ndarray, ...]:
-        """(slot in the shard, source, pass, block, words) of a shard's slots, in their drawn order."""
-        counts, before = self.shard(number)
-        source = np.repeat(np.arange(len(counts)), counts)
-        k = np.arange(len(source)) - np.repeat(np.cumsum(counts) - counts, counts) + before[source]
-        turn, block, words = np.zeros_like(k), np.zeros_like(k), np.zeros_like(k)
-        for s in np.flatnonzero(counts).tolist():
-            on = np.flatnonzero(source == s)
-            n = self.blocks[s]
-            turn[on] = k[on] // n
-            for t in np.unique(turn[on]).tolist():
-                j = on[turn[on] == t]
-                block[j] = permutation(k[j] % n, n, _key(self.seed, s, t))
-            words[on] = np.where(block[on] == n - 1, self.sizes[s] - (n - 1) * self.block, self.block)
-            if self.last[s]:
-                words[on] = np.where(k[on] == self.slots[s] - 1, self.last[s], words[on])
-        order = np.random.default_rng([self.seed, number, 7]).permutation(len(k))
-        return np.arange(len(k)), source[order], turn[order], block[order], words[order]
+        self.strips = -(-self.shards // STRIP)
+        self.over = self.need = self.drawn = None
+
+    def draw(self, shard: int) -> np.ndarray:
+        """The sources of a shard's slots: a multinomial draw in proportion to the sources' slots."""
+        n = min(self.shard_slots, self.total - shard * self.shard_slots)
+        return np.searchsorted(self.ends, np.random.default_rng([self.seed, shard]).integers(0, self.total, n), "right")
+
+    def of_strip(self, strip: int) -> range:
+        return range(strip * STRIP, min(self.shards, (strip + 1) * STRIP))
+
+    def counts(self, strip: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sources, slots drawn of each) of a strip of shards."""
+        return np.unique(np.concatenate([self.draw(s) for s in self.of_strip(strip)]), return_counts=True)
+
+    def settle(self, drawn: np.ndarray) -> None:
+        """Takes the number of slots that all shards drew of each source.  Draws beyond a source's slots go to sources that lack some."""
+        self.drawn = drawn
+        over = np.maximum(drawn - self.slots, 0)
+        self.over = np.cumsum(over) - over
+        self.need = np.cumsum(np.maximum(self.slots - drawn, 0))
+
+    def rows(self, shard: int, before: dict[int, int]) -> tuple[np.ndarray, ...]:
+        """(slot in the shard, source, pass, block, words) of a shard's slots.  ``before``, slots drawn of each source so far, moves on."""
+        source = self.draw(shard)
+        order = np.argsort(source, kind="stable")
+        found, first, n = np.unique(source[order], return_index=True, return_counts=True)
+        base = np.array([before.get(s, 0) for s in found.tolist()], np.int64)
+        k = np.empty(len(source), np.int64)
+        k[order] = np.arange(len(source)) - np.repeat(first, n) + np.repeat(base, n)
+        before.update(zip(found.tolist(), (base + n).tolist()))
+        moved = np.flatnonzero(k >= self.slots[source])
+        if len(moved):
+            j = self.over[source[moved]] + k[moved] - self.slots[source[moved]]
+            to = np.searchsorted(self.need, j, "right")
+            source[moved], k[moved] = to, self.drawn[to] + j - np.where(to > 0, self.need[to - 1], 0)
+        blocks = self.blocks[source]
+        turn, block = k // blocks, k % blocks
+        for s, t in np.unique(np.stack([source, turn], 1), axis=0).tolist():
+            on = np.flatnonzero((source == s) & (turn == t))
+            block[on] = permutation(block[on], int(self.blocks[s]), _key(self.seed, s, t))
+        words = np.where(block == blocks - 1, self.sizes[source] - (blocks - 1) * self.block, self.block)
+        words = np.where((k == self.slots[source] - 1) & (self.last[source] > 0), self.last[source], words)
+        return np.arange(len(k)), source, turn, block, words
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,19 +205,34 @@ class Mix:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = named.repartitionByRange(parts, "sidx", "doc_id", "uid").sortWithinPartitions("sidx", "doc_id", "uid")
         run = tmp.keep(ordered.mapInArrow(_running, "doc_id long, uid long, sidx int, size long, part int, start long"), "runs")
-        from pyspark.sql import Window
-
         ends = run.groupBy("sidx", "part").agg(F.sum("size").alias("n"))  # at most partitions plus sources
         base = ends.withColumn("base", F.sum("n").over(Window.partitionBy("sidx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("sidx", "part", F.coalesce("base", F.lit(0)).alias("base"))
         self.docs = run.join(base, ["sidx", "part"]).select("doc_id", "uid", "sidx", "size", (F.col("start") + F.col("base")).alias("start"))
 
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for strip in batch.column(0).to_pylist():
+                    source, n = plan.counts(strip)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), strip)), pa.array(source.astype(np.int32)), pa.array(n)], ["strip", "sidx", "n"])
+
+        strips = spark.range(0, plan.strips, 1, max(1, min(plan.strips, parts)))
+        drawn = tmp.keep(strips.mapInArrow(count, "strip long, sidx int, n long"), "drawn")
+        total = np.zeros(len(names), np.int64)
+        for r in drawn.groupBy("sidx").agg(F.sum("n").alias("n")).collect():  # a row for each source
+            total[r["sidx"]] = r["n"]
+        plan.settle(total)
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("sidx").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        bases = drawn.withColumn("before", before).groupBy("strip").agg(F.collect_list(F.struct("sidx", "before")).alias("of"))  # at most the strip's slots
+
         def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for number in batch.column(0).to_pylist():
-                    slot, source, turn, at, words = plan.rows(number)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), number)), pa.array(slot), *(pa.array(c.astype(np.int32)) for c in (source, turn)), pa.array(at), pa.array(words)], ["shard", "slot", "sidx", "turn", "block", "words"])
+                for strip, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    before = {r["sidx"]: r["before"] for r in of}
+                    for number in plan.of_strip(strip):
+                        slot, source, turn, at, words = plan.rows(number, before)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), number)), pa.array(slot), *(pa.array(c.astype(np.int32)) for c in (source, turn)), pa.array(at), pa.array(words)], ["shard", "slot", "sidx", "turn", "block", "words"])
 
-        self.slots = spark.range(0, plan.shards, 1, max(1, min(plan.shards, parts))).mapInArrow(draw, "shard long, slot long, sidx int, turn int, block long, words long")
+        self.slots = bases.mapInArrow(draw, "shard long, slot long, sidx int, turn int, block long, words long")
         span = self.docs.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
         low = F.greatest(F.col("start"), F.col("block") * block)
         high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)

@@ -16,7 +16,16 @@ def test_targets():
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 17, 1000])
 def test_permutation(n):
-    assert sorted(M.permutation(np.arange(n), n, 5).tolist()) == list(range(n))
+    there = M.permutation(np.arange(n), n, 5)
+    assert sorted(there.tolist()) == list(range(n))
+    assert M.permutation(there, n, 5, back=True).tolist() == list(range(n))
+
+
+def test_permutation_of_many():
+    """A position among 10**12 blocks takes no walk over them."""
+    n = 10**12
+    there = M.permutation(np.array([0, 5, n - 1]), n, 3)
+    assert M.permutation(there, n, 3, back=True).tolist() == [0, 5, n - 1]
 
 
 @pytest.mark.parametrize("sizes", [[7, 100, 13, 0, 1], [1000, 33, 2], [5], []])
@@ -25,16 +34,19 @@ def test_plan_gives_every_word(sizes, block):
     want = M.targets(sizes, [1 + i % 3 for i in range(len(sizes))])
     p = M.Plan(sizes, want, block, 5, 1)
     got, seen = [0] * len(sizes), set()
-    base = [0] * len(sizes)
+    drawn = np.zeros(len(sizes), np.int64)
+    for strip in range(p.strips):
+        source, n = p.counts(strip)
+        drawn[source] += n
+    p.settle(drawn)
+    before, total = {}, np.zeros(len(sizes), np.int64)
     for s in range(p.shards):
-        counts, before = p.shard(s)
-        assert before.tolist() == base
-        base = (before + counts).tolist()
-        for _, source, turn, at, n in zip(*(c.tolist() for c in p.rows(s))):
+        for _, source, turn, at, n in zip(*(c.tolist() for c in p.rows(s, before))):
             got[source] += n
+            total[source] += 1
             assert (source, turn, at) not in seen
             seen.add((source, turn, at))
-    assert base == p.slots and got == [round(t) for t in want]
+    assert total.tolist() == p.slots.tolist() and got == [round(t) for t in want]
 
 
 def rows():
@@ -92,3 +104,51 @@ def test_empty(spark, tmp_path):
     docs = documents(spark, tmp_path, [])
     assert M.Mix(spark, docs).docs.count() == 0
     assert M.mixed_documents(spark, docs).count() == 0
+
+
+def test_draws_follow_the_weights():
+    """A shard's counts are multinomial: their spread is that of independent draws."""
+    p = M.Plan([400_000, 300_000, 300_000], [400_000.0, 300_000.0, 300_000.0], 1, 1000, 4)
+    counts = np.array([np.bincount(p.draw(s), minlength=3) for s in range(p.shards)])
+    assert abs(counts[:, 0].mean() - 400) < 3 and abs(counts[:, 0].var() / 240 - 1) < 0.15
+
+
+def test_rows_are_numbered_alike_whatever_the_splits(spark, tmp_path):
+    """Splits that change between a table's jobs change nothing; tables that are no scans are written once."""
+    from sparkloom.llm.work import numbered
+
+    docs = documents(spark, tmp_path, [(k, f"text {k} " + "filler " * 200, f"s{k % 3}") for k in range(400)])
+    key = "spark.sql.files.maxPartitionBytes"
+    one = numbered(docs)
+    first = {r[0]: r[1] for r in one.select("doc_id", "_sl_uid").collect()}
+    before, few = spark.conf.get(key), docs.rdd.getNumPartitions()
+    try:
+        spark.conf.set(key, "2000")
+        again = numbered(spark.read.parquet(docs.inputFiles()[0].rsplit("/", 1)[0]))
+        assert {r[0]: r[1] for r in again.select("doc_id", "_sl_uid").collect()} == first
+        assert again.rdd.getNumPartitions() > few
+    finally:
+        spark.conf.set(key, before)
+    assert len(set(first.values())) == 400
+    other = numbered(docs.unionByName(docs).repartition(3))
+    pairs = [tuple(r) for r in other.select("_sl_uid", "doc_id").collect()]
+    assert len({u for u, _ in pairs}) == 800 and sorted(pairs) == sorted(tuple(r) for r in other.select("_sl_uid", "doc_id").collect())
+
+
+@pytest.mark.parametrize("stage", ["exact", "near", "mixed"])
+def test_stages_hold_when_splits_change(spark, tmp_path, stage):
+    """What a stage keeps, when its last job reads other splits than its first."""
+    from sparkloom.llm.op04_jaccard import near_dedup
+    from sparkloom.llm.op10_exact import exact_dedup
+
+    docs = documents(spark, tmp_path, [(k, f"text number {k % 40} " + f"word{k % 40} " * 60, f"s{k % 3}") for k in range(80)])
+    run = {"exact": exact_dedup, "near": near_dedup, "mixed": M.mixed_documents}[stage]
+    want = sorted(map(tuple, run(spark, docs).collect()))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        out = run(spark, docs)  # its first jobs have run
+        spark.conf.set(key, "1500")
+        assert sorted(map(tuple, out.collect())) == want and len(want) >= 40
+    finally:
+        spark.conf.set(key, before)
