@@ -1,4 +1,3 @@
-import difflib
 import random
 
 import numpy as np
@@ -52,25 +51,10 @@ def test_against_all_pairs(spark, tmp_path):
     rows = corpus(2)
     docs = documents(spark, tmp_path, rows, extra=("uid", "n", "holder"))
     want = brute(rows, 20)
-    got = {r["doc_id"]: [x for x in r["text"].split("\n") if words(x)] for r in L.line_dedup(spark, docs, 20).collect()}
-    # against all pairs rather than the lines' first holders a few more lines may be aligned, never fewer
+    got = {r["doc_id"]: [x for x in r["text"].split("\n") if words(x)] for r in L.line_dedup(spark, docs, 20, passages=False).collect()}
     kept = {x for ls in got.values() for x in ls}
     assert {x for _, t in rows for x in t.split("\n")} == kept
-    extra = sum(len(got[d]) - len(want[d]) for d in got)
-    assert all(set(want[d]) <= set(got[d]) for d in got) and extra <= 0.02 * sum(map(len, got.values()))
-
-
-def test_patience():
-    r = random.Random(8)
-    for _ in range(300):
-        a = [r.randrange(12) for _ in range(r.randint(0, 14))]
-        b = [x for x in a if r.random() < 0.8] + [r.randrange(12) for _ in range(r.randint(0, 3))]
-        got = L.patience(a, b)
-        assert all(a[x] == b[y] for x, y in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
-    a = list("abcdefgh")
-    assert L.patience(a, a) == [(k, k) for k in range(8)]
-    m = difflib.SequenceMatcher(None, a, list("abxcdeyfgh"), False).get_matching_blocks()
-    assert len(L.patience(a, list("abxcdeyfgh"))) == sum(x.size for x in m)
+    assert got == want
 
 
 def test_lines():
@@ -109,7 +93,7 @@ def test_long_list_path(spark, tmp_path, monkeypatch):
 def test_lines_of_several_holders(spark, tmp_path):
     one, two = (" ".join(f"{c}{k}" for k in range(12)) for c in "pq")
     rows = [(1, one + "\nfirst"), (2, two + "\nsecond"), (3, f"third\n{one}\n{two}"), (4, f"fourth\n{one}\n{two}\nend")]
-    got = {r["doc_id"]: r["text"] for r in L.line_dedup(spark, documents(spark, tmp_path, rows), 20).collect()}
+    got = {r["doc_id"]: r["text"] for r in L.line_dedup(spark, documents(spark, tmp_path, rows), 20, passages=False).collect()}
     assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: "fourth\nend"}
 
 
@@ -131,7 +115,7 @@ def test_repeated_and_crossed_passages(spark, tmp_path):
     one = " ".join(f"o{k}" for k in range(60))
     rows = [(1, f"a\n{p}\nz"), (2, f"b\n{p}\nc\n{p}\nd"), (3, f"e\n{q}\nf\n{p}\ng"), (4, f"h\n{p}\ni\n{q}\nj"), (5, f"k\n{one}\nl\n{one}\nm"), (6, f"n\n{one}\no")]
     rows += [(10 + i, t) for i, t in corpus(3)]
-    got = {r["doc_id"]: [x for x in r["text"].split("\n") if words(x)] for r in L.line_dedup(spark, documents(spark, tmp_path, rows), 20).collect()}
+    got = {r["doc_id"]: [x for x in r["text"].split("\n") if words(x)] for r in L.line_dedup(spark, documents(spark, tmp_path, rows), 20, passages=False).collect()}
     assert got == earlier_runs(rows, 20)
     assert got[2] == ["b", "c", "d"] and got[4] == ["h", "i", "j"] and got[6] == ["n", "o"]
 
@@ -143,3 +127,55 @@ def test_blocks():
         marked = {k for x, y in L.blocks(a, b, [2] * len(b), 6) for k in range(x, y)}
         runs = {tuple(a[x:y]) for x in range(len(a)) for y in range(x + 3, len(a) + 1)}
         assert marked == {k for x in range(len(b)) for y in range(x + 3, len(b) + 1) if tuple(b[x:y]) in runs for k in range(x, y)}
+
+
+def test_prints():
+    r = random.Random(3)
+    passage = [f"p{k}" for k in range(49)]
+    texts = [" ".join([f"a{r.random()}"] * 0 + [f"w{r.randrange(10**6)}" for _ in range(r.randint(0, 90))] + (passage if k % 2 else []) + [f"w{r.randrange(10**6)}" for _ in range(r.randint(0, 90))]) for k in range(40)] + ["", "same " * 300]
+    _, _, data, off = next(iter(pieces(pa.array(texts))))
+    word, _, _, at = L.words(data, off)
+    h, first, own = L.prints(word, at)
+    sets = []
+    for k, t in enumerate(texts):
+        n, mine = len(words(t)), first[own[k] : own[k + 1]] - at[k]
+        assert all(0 <= x <= n - L.PRINT for x in mine)
+        if n >= 2 * L.PRINT - 1:
+            edges = [-1, *mine.tolist(), n - L.PRINT + 1]
+            assert max(b - a for a, b in zip(edges, edges[1:])) <= L.PRINT
+        sets.append(set(h[own[k] : own[k + 1]].tolist()))
+    assert all(sets[1] & sets[k] for k in range(1, 40, 2))
+
+
+def test_passages_inside_lines(spark, tmp_path):
+    """Against brute force over words: no common run of 49 words stays whole; what goes is common; whole passages go to the word."""
+    r = random.Random(21)
+    word = lambda: f"w{r.randrange(5000)}"
+    passages = [[word() for _ in range(n)] for n in (30, 55, 60, 80, 140, 400)]
+    rows = []
+    for i in range(70):
+        t = [word() for _ in range(r.randint(0, 120))]
+        for _ in range(r.randint(0, 2)):
+            p, at = r.choice(passages), r.randint(0, len(t))
+            p = p[r.randint(0, 10) :] if r.random() < 0.3 else p
+            t[at:at] = p
+        rows.append((i, "".join(w + ("\n" if r.random() < 0.02 else " ") for w in t)))
+    fresh = " ".join(f"fresh{k}" for k in range(400))
+    rows += [(70, None), (71, ""), (72, fresh), (73, fresh + " tail"), (74, "x " * 3000), (75, "y " + "x " * 3000)]
+    docs = documents(spark, tmp_path, rows, extra=("parts", "grown", "h"))
+    got = {x["doc_id"]: x for x in L.line_dedup(spark, docs).collect()}
+    runs49, runs25 = set(), set()
+    for d, t in rows:
+        w, left = words(t), words(got[d]["text"])
+        assert got[d]["deleted_words"] == len(w) - len(left)
+        common = {k for a in range(len(w) - 24) if tuple(w[a : a + 25]) in runs25 for k in range(a, a + 25)}
+        blocks = got[d]["deleted_lines"] > 0
+        assert blocks or len(w) - len(left) <= len(common)
+        kept = {tuple(left[a : a + 49]) for a in range(len(left) - 48)}
+        assert not kept & runs49 & {tuple(w[a : a + 49]) for a in range(len(w) - 48)}
+        runs49 |= {tuple(w[a : a + 49]) for a in range(len(w) - 48)}
+        runs25 |= {tuple(w[a : a + 25]) for a in range(len(w) - 24)}
+    assert words(got[73]["text"]) == ["tail"] and got[72]["text"] == fresh and words(got[75]["text"]) == ["y"]
+    p = " ".join(passages[4])
+    two = documents(spark, tmp_path, [(1, f"start {p} end"), (2, f"other {p}\nlast words"), (3, f"{p} and"), (4, f"and so {p}")], "two")
+    assert {x["doc_id"]: x["text"] for x in L.line_dedup(spark, two).collect()} == {1: f"start {p} end", 2: "other last words", 3: "and", 4: "and so"}
