@@ -38,31 +38,31 @@ FREE = 16
 
 SENTENCES: dict[str, list[str]] = {
     "apache-short": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");", "Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0."],
-    "apache-use": ["you may not use this file except in compliance " "with the License."],
-    "apache-copy": ["You may obtain a copy of the License at", "You may obtain a copy of the License at " "http://www.apache.org/" "licenses/LICENSE-2.0"],
-    "apache-basis": ["Unless required by applicable law or agreed to in " "writing, software distributed under the License is distributed on " "an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF " "ANY KIND, either express or implied."],
-    "apache-see": ["See the License for the specific language governing permissions " "and limitations under the License."],
+    "apache-use": ["you may not use this file except in compliance with the License."],
+    "apache-copy": ["You may obtain a copy of the License at", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "apache-basis": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "apache-see": ["See the License for the specific language governing permissions and limitations under the License."],
     "mit-short": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.", "MIT License", "The MIT License (MIT)"],
-    "mit-grant": ["Permission is hereby granted, free of charge, to any " "person obtaining a copy of this software and associated " "documentation files (the \"Software\"), to deal in the Software " "without restriction, including without limitation the rights to use, " "copy, modify, merge, publish, distribute, sublicense, and/or sell copies " "of the Software, and to permit persons to whom " "the Software is furnished to do so, subject to " "the following conditions:"],
-    "mit-notice": ["The above copyright notice and this permission notice shall " "be included in all copies or substantial portions of " "the Software."],
-    "mit-as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF " "ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED " "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR " "PURPOSE AND NONINFRINGEMENT."],
-    "bsd-grant": ["Redistribution and use in source and binary forms, with " "or without modification, are permitted provided that the following " "conditions are met:"],
-    "bsd-source": ["Redistributions of source code must retain the above copyright " "notice, this list of conditions and the following disclaimer.", "1. Redistributions of source code must retain the above " "copyright notice, this list of conditions and the following " "disclaimer."],
-    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright " "notice, this list of conditions and the following disclaimer " "in the documentation and/or other materials provided with the " "distribution.", "2. Redistributions in binary form must reproduce the above " "copyright notice, this list of conditions and the following " "disclaimer in the documentation and/or other materials provided with " "the distribution."],
-    "bsd-endorse": ["Neither the name of the copyright holder nor the " "names of its contributors may be used to endorse " "or promote products derived from this software without specific " "prior written permission.", "3. Neither the name of the copyright holder nor " "the names of its contributors may be used to " "endorse or promote products derived from this software without " "specific prior written permission."],
-    "gpl3-short": ["This work is licensed under the GNU General Public " "License, version 3.", "Licensed under the GNU General Public License, version 3.", "Licensed under the GNU GPL v3."],
-    "gpl-free": ["This program is free software: you can redistribute it " "and/or modify it under the terms of the GNU " "General Public License as published by the Free Software " "Foundation, either version 3 of the License, or (at " "your option) any later version."],
-    "gpl2-free": ["This program is free software; you can redistribute it " "and/or modify it under the terms of the GNU " "General Public License as published by the Free Software " "Foundation; either version 2 of the License, or (at " "your option) any later version."],
-    "gpl-hope": ["This program is distributed in the hope that it " "will be useful, but WITHOUT ANY WARRANTY; without even " "the implied warranty of MERCHANTABILITY or FITNESS FOR A " "PARTICULAR PURPOSE."],
+    "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
+    "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "mit-as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
+    "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "gpl3-short": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "Licensed under the GNU GPL v3."],
+    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "gpl-see": ["See the GNU General Public License for more details."],
     "lgpl-short": ["Licensed under the GNU Lesser General Public License, version 3."],
-    "mpl2": ["This Source Code Form is subject to the terms " "of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms " "of the Mozilla Public License, v."],
-    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software " "for any purpose with or without fee is hereby " "granted, provided that the above copyright notice and this " "permission notice appear in all copies."],
+    "mpl2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v."],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial " "4.0 International License."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution " "4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike " "4.0 International License."],
-    "cc0": ["To the extent possible under law, the author has " "waived all copyright and related or neighboring rights to " "this work.", "SPDX-License-Identifier: CC0-1.0"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0"],
     "reserved": ["All rights reserved."],
     "spdx-apache": ["SPDX-License-Identifier: Apache-2.0"],
     "spdx-mit": ["SPDX-License-Identifier: MIT"],
@@ -186,6 +186,17 @@ class Book:
         for r in rules:
             self.starts.setdefault(r.sentences[0], []).append(r)
 
+    def _next(self, ids: list[str], hits: list[tuple[int, ...]], ends: list[int], want: str) -> list[int]:
+        """Where ``want`` stands after one of ``ends`` with no wider gap."""
+        out: dict[int, None] = {}
+        for at in ends:
+            for j in range(at + 1, len(ids)):
+                if hits[j][2] - hits[at][3] > self.gap + 1:
+                    break
+                if ids[j] == want and hits[j][0] > hits[at][1]:
+                    out[j] = None
+        return sorted(out)
+
     def match(self, ids: list[str], number: list[int], hits: list[tuple[int, ...]] | None = None) -> list[tuple[str, str, int, int]]:
         """(license, rule, first sentence, last sentence) of the longest matches.  hits: (first and last word, first and last sentence for gaps,
         number of the last sentence); without them each identifier is a sentence as numbered."""
@@ -193,12 +204,11 @@ class Book:
         got = []
         for k, first in enumerate(ids):
             for rule in self.starts.get(first, ()):
-                at = k
+                ends = [k]  # where the part of the rule so far may end
                 for want in rule.sentences[1:]:
-                    at = next((j for j in range(at + 1, len(ids)) if ids[j] == want and hits[j][0] > hits[at][1] and hits[j][2] - hits[at][3] <= self.gap + 1), -1)
-                    if at < 0:
-                        break
-                if at >= 0:
+                    ends = self._next(ids, hits, ends, want)
+                if ends:
+                    at = ends[0]
                     got.append((rule.license, rule.name, number[k], hits[at][4], len(rule.sentences), hits[k][0], hits[at][1]))
         got.sort(key=lambda g: (g[5], -g[4], g[6]))
         out, reach = [], -1

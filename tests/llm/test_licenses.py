@@ -63,7 +63,7 @@ WHOLE = {
     "GPL-2.0": "{gpl2-free}\n\n{gpl-hope} {gpl-see}",
     "ISC": HOLDER + "{isc-grant}\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.",
     "MPL-2.0": "{mpl2} If a copy of the MPL was not distributed with this file, You can obtain one.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); {apache-use} {apache-copy}\n\n    http://www.apache.org/" "licenses/LICENSE-2.0\n\n{apache-basis} {apache-see}",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); {apache-use} {apache-copy}\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n{apache-basis} {apache-see}",
 }
 
 
@@ -81,3 +81,45 @@ def test_published_texts(spark, tmp_path, mark):
     got = {r["doc_id"]: r for r in Q.licenses(documents(spark, tmp_path, rows)).collect()}
     assert {d: r["licenses"] for d, r in got.items()} == want
     assert all(m["rule"] in ("text", "notice") for r in got.values() for m in r["matches"])
+
+
+def all_matches(rules, gap, ids, number):
+    """Every choice of positions for every rule; of those that end first, the ones in no longer one."""
+    import itertools
+
+    got = []
+    for r in rules:
+        for k in range(len(ids)):
+            ends = [c for c in itertools.combinations(range(k, len(ids)), len(r.sentences)) if c[0] == k and all(ids[j] == w for j, w in zip(c, r.sentences)) and all(number[b] - number[a] <= gap + 1 for a, b in zip(c, c[1:]))]
+            if ends:
+                got.append((number[k], -len(r.sentences), min(number[c[-1]] for c in ends), r))
+    out, reach = [], -1
+    for first, _, last, r in sorted(got, key=lambda g: g[:3]):
+        if last > reach:
+            out.append((r.license, r.name, first, last))
+            reach = last
+    return out
+
+
+def test_rule_matching_against_all_choices():
+    import random
+
+    r = random.Random(4)
+    rules = (Q.Rule("A", "1", ("x", "y", "z")), Q.Rule("B", "1", ("x", "z")), Q.Rule("C", "1", ("y",)), Q.Rule("D", "1", ("z", "y", "y", "x")))
+    book = Q.Book({"x": ["one two"], "y": ["three four"], "z": ["five six"]}, rules, 1)
+    for _ in range(500):
+        number = sorted(r.sample(range(16), r.randint(0, 8)))
+        ids = [r.choice("xyz") for _ in number]
+        assert book.match(ids, number) == all_matches(rules, 1, ids, number)
+
+
+@pytest.mark.parametrize("width", [60, 80])
+def test_wrapped_at_other_widths(spark, tmp_path, width):
+    import textwrap
+
+    rows = []
+    for name, text in WHOLE.items():
+        whole = re.sub(r"\{([\w-]+)\}", lambda m: Q.SENTENCES[m[1]][0], text)
+        rows.append((len(rows), "\n\n".join(textwrap.fill(p.strip(), width, break_long_words=False, break_on_hyphens=False) for p in whole.split("\n\n"))))
+    got = {x["doc_id"]: x["licenses"] for x in Q.licenses(documents(spark, tmp_path, rows)).collect()}
+    assert [got[k] for k in range(len(rows))] == [[n] for n in WHOLE]
