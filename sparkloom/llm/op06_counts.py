@@ -15,6 +15,12 @@ then the constant map to its end with a count, and the composition of a text's m
 a prefix sum of counts (``scan``).  Chunks are hashed, and each distinct one runs once
 a worker, all of a batch in step.
 
+Chunks of more than ``LONG`` characters (texts without spaces) are cut into blocks that run
+in step as well: each block's state map is known for one entry state, the one after the
+``WARM`` characters before it.  Maps compose where a block's entry is the exit of the one
+before; elsewhere the block runs again from the true state, once for each such state and
+content, until the maps compose again.  Counts are prefix sums over blocks, and exact.
+
 Counts equal the library's for whole texts without added special tokens; control
 symbols' strings in a text are ordinary text to it.  Models that this doesn't hold for
 (other types, normalisation, pieces with inner space marks, user-defined symbols) are
@@ -35,6 +41,8 @@ from .textbytes import BYTE_VALUE, U, hash_spans, pieces, sums
 from .work import table
 
 LIMIT = 4096
+#: Characters of a chunk that is cut into blocks; of a block; those that are read before it; and blocks at a time.
+LONG, BLOCK, WARM, GROUP = 4096, 512, 64, 4096
 MARK = "▁"
 
 
@@ -131,28 +139,71 @@ class Transducer:
         return nxt, cost
 
     def settle(self) -> None:
-        """Bring new transitions into the sorted table, once there are enough of them; start over when there are too many states."""
+        """Start over when there are too many states; bring new transitions into the sorted table, once there are enough of them."""
         if len(self.keys) > self.most:
             self.reset()
-        elif self.fresh > max(2000, len(self.table[0]) // 4):
+        self.absorb()
+
+    def absorb(self) -> None:
+        if self.fresh > max(2000, len(self.table[0]) // 4):
             keys = np.fromiter(self.moves, np.int64, len(self.moves))
             moves = np.array(list(self.moves.values()), np.int64).reshape(-1, 2)
             order = np.argsort(keys)
             self.table, self.fresh = (keys[order], moves[order, 0], moves[order, 1]), 0
 
     def counts(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Tokens of each chunk, all chunks in step."""
+        """Tokens of each chunk."""
         self.settle()
-        total = np.zeros(len(start), np.int64)
+        long = np.flatnonzero(end - start > LONG)
+        if not len(long):
+            return self.run(cps, start, end, np.zeros(len(start), np.int64))[0]
+        out = np.zeros(len(start), np.int64)
+        short = np.flatnonzero(end - start <= LONG)
+        out[short] = self.run(cps, start[short], end[short], np.zeros(len(short), np.int64))[0]
+        for i in long.tolist():
+            out[i] = self.composed(cps[start[i] : end[i]])
+        return out
+
+    def composed(self, cps: np.ndarray) -> int:
+        """Tokens of one long chunk, from the state maps of its blocks."""
+        total, key = 0, self.keys[0]
+        for lo in range(0, len(cps), GROUP * BLOCK):
+            self.settle()
+            if key not in self.states:
+                self.states[key] = len(self.keys)
+                self.keys.append(key)
+            start = np.arange(lo, min(len(cps), lo + GROUP * BLOCK), BLOCK)
+            end = np.append(start[1:], min(len(cps), lo + GROUP * BLOCK))
+            entry = self.run(cps, np.maximum(start - WARM, 0), start, np.zeros(len(start), np.int64))[1]
+            entry[0] = self.states[key]
+            count, leave = self.run(cps, start, end, entry)
+            known: dict[tuple[int, bytes], tuple[int, int]] = {}
+            at = 0
+            for b in np.flatnonzero(np.concatenate([[False], leave[:-1] != entry[1:]])).tolist():
+                at = max(at, b)
+                while at < len(start) and leave[at - 1] != entry[at]:  # until the maps compose again
+                    same = (int(leave[at - 1]), cps[start[at] : end[at]].tobytes())
+                    if same not in known:
+                        n, to = self.run(cps, start[at : at + 1], end[at : at + 1], leave[at - 1 : at])
+                        known[same] = int(n[0]), int(to[0])
+                    entry[at] = leave[at - 1]
+                    count[at], leave[at] = known[same]
+                    at += 1
+            total, key = total + int(count.sum()), self.keys[int(leave[-1])]
+        return total
+
+    def run(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, state at the end) of each span from its entry state, all spans in step."""
+        total, leave = np.zeros(len(start), np.int64), entry.copy()
         order = np.argsort(start - end, kind="stable")  # longest first, so that those still running are a prefix
         s, e = start[order], end[order]
-        state = np.zeros(len(s), np.int64)
+        state = entry[order]
         length = e - s
         running = len(s)
         for k in range(int(length[0]) if len(s) else 0):
             while length[running - 1] <= k:
                 running -= 1
-            if running <= 16:  # few long chunks are left: one after the other
+            if running <= 16:  # few spans are left: one after the other
                 for i in range(running):
                     at = int(state[i])
                     for c in cps[s[i] + k : e[i]].tolist():
@@ -162,11 +213,15 @@ class Transducer:
                             self.fresh += 1
                         at = move[0]
                         total[order[i]] += move[1]
+                    state[i] = at
                 break
+            if k % 64 == 63:
+                self.absorb()
             nxt, cost = self.advance(state[:running], cps[s[:running] + k].astype(np.int64))
             state[:running] = nxt
             total[order[:running]] += cost
-        return total
+        leave[order] = state
+        return total, leave
 
 
 def compile_model(path: str) -> Transducer:

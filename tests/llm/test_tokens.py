@@ -38,6 +38,26 @@ def test_counts_equal_the_library():
     assert _counted(texts) == want
 
 
+def test_long_chunks_compose(monkeypatch):
+    """Texts without spaces, in blocks, at every block size: the library's counts, and those of one run."""
+    import sentencepiece
+
+    r = random.Random(12)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = ["".join(r.choices(alphabet, k=9000)), "a" * 7001, "ab" * 3000 + "abc" * 2000, "".join(chr(r.randint(0x4E00, 0x5000)) for _ in range(6000)), "the" * 2500, "x" * 5000 + "the" * 900 + "=" * 4000]
+    sp = sentencepiece.SentencePieceProcessor(model_file=C.tokenizer_path("piece_bpe_32k.model"))
+    want = [len(sp.encode(t)) for t in texts]
+    for block, warm, group in ((512, 64, 4096), (100, 0, 7), (64, 5, 3)):
+        for name, v in (("LONG", 600), ("BLOCK", block), ("WARM", warm), ("GROUP", group)):
+            monkeypatch.setattr(C, name, v)
+        count = C.Counter(C.tokenizer_path("piece_bpe_32k.model"))
+        got = [n for _, _, d, o in pieces(pa.array(texts)) for n in count(d, o).tolist()]
+        assert got == want
+    count.machine.most = 50  # states are made again between groups
+    marked = ("▁" + texts[0]).encode("utf-32-le")
+    assert count.machine.composed(np.frombuffer(marked, "<u4")) == want[0]
+
+
 def test_counts_query(spark, tmp_path):
     import sentencepiece
 
