@@ -35,6 +35,8 @@ from .work import Scratch, table
 
 #: Labelled rows that a model is fitted on, at most; grams that it uses, at most.
 MAX_LABELLED, MAX_GRAMS = 12_000, 600
+#: Bytes of text that are worked on at once (a longer document is on its own), and grams that a task holds before it sums them.
+AT_ONCE, HELD = 1 << 18, 1_000_000
 GRAMS = (4, 5, 6)
 LETTERS = 60  # 0: none; 1-26: a-z without accents; 27-59: letters of other scripts, hashed
 
@@ -88,7 +90,7 @@ def classes(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(LETTERS * LETTERS, np.int64)
     for batch in batches:
-        for _, _, data, off in pieces(batch.column(0)):
+        for _, _, data, off in pieces(batch.column(0), AT_ONCE):
             cps, at = codepoints(data, off)
             c = np.insert(classes(cps)[0], at, 0).astype(np.int64)
             total += np.bincount(c[:-1] * LETTERS + c[1:], minlength=len(total))
@@ -377,7 +379,7 @@ class Model:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.empty(len(column))
-        for a, b, data, off in pieces(column):
+        for a, b, data, off in pieces(column, AT_ONCE):
             row, gram, x = self.hits(data, off)
             out[a:b] = self.bias + np.bincount(row, self.weights[gram] * x if len(row) else None, minlength=b - a)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
@@ -415,24 +417,29 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(letters)
-        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def sum_up() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            g, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return g, *(np.bincount(at, np.concatenate([h[k] for h in held]), minlength=len(g)).astype(np.int64) for k in (1, 2))
+
         for batch in batches:
-            y = batch.column(1).to_numpy()
-            for a, b, data, off in pieces(batch.column(0)):
+            y = batch.column(1).to_numpy() == 1
+            for a, b, data, off in pieces(batch.column(0), AT_ONCE):
                 code, row = (np.concatenate(v) for v in zip(*_row_grams(restore, data, off)))
                 order = np.lexsort((code, row))
                 code, row = code[order], row[order]
                 if len(code):
                     new = np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])
-                    seen.append((code[new], y[a:b][row[new]]))
-        if seen:
-            code, label = np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen])
-            g, at = np.unique(code, return_inverse=True)
-            pos = np.bincount(at, label == 1, minlength=len(g)).astype(np.int64)
-            all_ = np.bincount(at, minlength=len(g))
+                    label = y[a:b][row[new]]
+                    held.append((code[new], label, ~label))
+                if sum(len(h[0]) for h in held[1:]) > HELD:
+                    held[:] = [sum_up()]
+        if held:
+            g, pos, neg = sum_up()
             for k in range(0, len(g), 50_000):
                 j = slice(k, k + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(g[j].view(np.int64)), pa.array(pos[j]), pa.array(all_[j] - pos[j])], ["g", "pos", "neg"])
+                yield pa.RecordBatch.from_arrays([pa.array(g[j].view(np.int64)), pa.array(pos[j]), pa.array(neg[j])], ["g", "pos", "neg"])
 
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n = total.get(1, 0), sum(v for k, v in total.items() if k != 1)
@@ -451,7 +458,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
     def density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(chosen.grams)
         for batch in batches:
-            for a, b, data, off in pieces(batch.column(0)):
+            for a, b, data, off in pieces(batch.column(0), AT_ONCE):
                 x = np.zeros((b - a, k), np.float16)
                 row, gram, dense = chosen.hits(data, off)
                 x[row, gram] = dense
