@@ -6,7 +6,8 @@ little-endian unsigned 16- or 32-bit integers, document after document, and
 ``NNNNNNNN.idx`` a minimal perfect hash of the shard's keys (doc_id, occurrence) with,
 at each key's slot, a 32-bit fingerprint, the offset and the length.  A manifest holds
 each shard's key range and its first position in the whole id stream.  ``Shard.find``
-takes constant time: a hash function or two, the fingerprint, one record.
+takes constant time once the hash's bits are read: a hash function or two, one record with
+its fingerprint, one range of ids.  Neither file is read as a whole.
 
 Encoding is the tokenizers library's.  The byte-level pre-tokenizer's pattern is
 applied to a whole batch with NumPy over code-point classes, which are asked of the
@@ -41,6 +42,8 @@ from .textbytes import U, hash_spans, mix, pieces, sums
 from .work import Scratch, numbered, table
 
 END, MAGIC = 2, b"IDX1"
+#: Bytes that are read at once, and of a gap that is read over; text bytes of a shard.
+READ, GAP, SHARD_BYTES = 4 << 20, 4096, 256 << 20
 NONE = np.uint64(0x8000000000000001)  # stands for a null doc_id in hashes
 
 
@@ -112,30 +115,59 @@ def index_bytes(h: np.ndarray, offset: np.ndarray, length: np.ndarray) -> bytes:
 
 
 class Shard:
-    """Keyed access to one shard."""
+    """Keyed access to one shard, by ranges of its two files: the hash's bits, the records that are asked for, the ids that they name."""
 
-    def __init__(self, index: bytes, ids: bytes, width: int):
-        magic, n_levels, n_rest, n = struct.unpack_from("<4sIII", index)
+    def __init__(self, index: pa.NativeFile, ids: pa.NativeFile, width: int):
+        self.index, self.data, self.width = index, ids, width
+        magic, n_levels, n_rest, self.n = struct.unpack("<4sIII", index.read_at(16, 0))
         if magic != MAGIC:
             raise ValueError("not an index of this format")
-        at = 16
-        sizes = struct.unpack_from(f"<{n_levels}Q", index, at)
-        at += 8 * n_levels
-        levels = []
+        at = 16 + 8 * n_levels
+        sizes = struct.unpack(f"<{n_levels}Q", index.read_at(8 * n_levels, 16)) if n_levels else ()
+        bits = index.read_at(sum(sizes) // 8, at)  # some 4 bits a key
+        levels, k = [], 0
         for size in sizes:
-            levels.append((size, np.frombuffer(index, "<u8", size // 64, at)))
-            at += size // 8
-        self.mph = PerfectHash(levels, np.frombuffer(index, "<u8", n_rest, at))
-        self.rows = np.frombuffer(index, RECORD, n, at + 8 * n_rest)
-        self.ids = np.frombuffer(ids, "<u2" if width == 2 else "<u4")
+            levels.append((size, np.frombuffer(bits, "<u8", size // 64, k)))
+            k += size // 8
+        self.mph = PerfectHash(levels, np.frombuffer(index.read_at(8 * n_rest, at + k), "<u8"))
+        self.at = at + k + 8 * n_rest
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(offset, length) of each key; offset -1 where it isn't here (but for one in 2**32)."""
         slot = self.mph.slots(h)
-        r = self.rows[np.maximum(slot, 0)] if len(self.rows) else np.zeros(len(h), RECORD)
-        ok = (slot >= 0) & (r["print"] == (h >> U(32)).astype(np.uint32)) & (len(self.rows) > 0)
+        r = np.zeros(len(h), RECORD)
+        for some, raw in _spans(self.index, self.at + slot * RECORD.itemsize, np.where(slot < 0, 0, RECORD.itemsize)):
+            r[some] = np.frombuffer(raw, RECORD)
+        ok = (slot >= 0) & (r["print"] == (h >> U(32)).astype(np.uint32))
         return np.where(ok, r["offset"].astype(np.int64), -1), np.where(ok, r["length"], 0)
 
+    def ids(self, offset: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, ids) of found keys, in any order."""
+        kind = "<u2" if self.width == 2 else "<u4"
+        n = np.where(offset < 0, 0, length).astype(np.int64)
+        for some, raw in _spans(self.data, offset * self.width, n * self.width):
+            got, at = np.frombuffer(raw, kind), 0
+            for i in some.tolist():
+                yield i, got[at : at + n[i]]
+                at += n[i]
+        for i in np.flatnonzero(n == 0).tolist():
+            yield i, np.zeros(0, kind)
+
+
+def _spans(file: pa.NativeFile, at: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, bytes]]:
+    """(rows, their bytes one after the other): neighbouring ranges are read at once, up to ``READ`` bytes with small gaps."""
+    order = np.argsort(at, kind="stable")
+    order = order[n[order] > 0]
+    lo = 0
+    while lo < len(order):
+        first, hi, end = int(at[order[lo]]), lo + 1, int(at[order[lo]] + n[order[lo]])
+        while hi < len(order) and at[order[hi]] - end <= GAP and at[order[hi]] + n[order[hi]] - first <= READ:
+            end = max(end, int(at[order[hi]] + n[order[hi]]))
+            hi += 1
+        raw = file.read_at(end - first, first)
+        yield order[lo:hi], b"".join(raw[int(at[i]) - first : int(at[i] + n[i]) - first] for i in order[lo:hi].tolist())
+        lo = hi
+
 
 # -- encoding -------------------------------------------------------------------
 
@@ -340,21 +372,25 @@ class Store:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, root = _file_system(uri)
-            held, shard = None, None
+            held, shard, files = None, None, []
             for batch in batches:
                 number = batch.column(0).to_numpy()
                 cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])) if len(number) else np.zeros(1, int)
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                     if held != number[a]:
                         held, path = int(number[a]), f"{root}/{number[a]:08d}"
-                        with fs.open_input_file(f"{path}.idx") as i, fs.open_input_file(f"{path}.ids") as d:
-                            shard = Shard(i.read(), d.read(), width)
+                        for f in files:
+                            f.close()
+                        files = [fs.open_input_file(f"{path}.idx"), fs.open_input_file(f"{path}.ids")]
+                        shard = Shard(*files, width)
                     keys_ = batch.column(1).slice(a, b - a)
                     null = keys_.is_null().to_numpy(zero_copy_only=False)
                     h = key_hash(keys_.fill_null(0).to_numpy(), null, batch.column(2).slice(a, b - a).to_numpy())
                     offset, n = shard.find(h)
-                    rows = [shard.ids[max(o, 0) : max(o, 0) + k] for o, k in zip(offset.tolist(), n.tolist())]
-                    what = pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()) if digest else pa.array([r.tobytes() for r in rows], pa.binary())
+                    rows: list = [None] * (b - a)
+                    for i, r in shard.ids(offset, n):
+                        rows[i] = zlib.crc32(r.astype("<u4").tobytes()) if digest else r.tobytes()
+                    what = pa.array(rows, pa.int64() if digest else pa.binary())
                     yield pa.RecordBatch.from_arrays([keys_, batch.column(2).slice(a, b - a), pa.array(number[a:b].astype(np.int32)), pa.array(offset), pa.array(n.astype(np.int64)), what], ["doc_id", "occurrence", "shard", "offset", "n_tokens", "ids_crc32" if digest else "ids"])
 
         return keys.select("shard", "doc_id", "occurrence").mapInArrow(run, shape)
@@ -376,7 +412,8 @@ def write_store(spark: SparkSession, docs: DataFrame, tokenizer: str, uri: str |
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else 4
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000_000, size // SHARD_BYTES))
     rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_sl_h", F.xxhash64("text")))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_sl_h"), F.col("_sl_uid")]  # rows that repeat a doc_id may lie in several shards
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")

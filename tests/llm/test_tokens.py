@@ -80,7 +80,10 @@ def test_perfect_hash():
         mph = S.PerfectHash.build(h)
         assert sorted(mph.slots(h).tolist()) == list(range(len(h))) and mph.size == len(h)
     h = np.unique(np.random.default_rng(1).integers(0, 2**63, 4000).astype(np.uint64))
-    shard = S.Shard(S.index_bytes(h[:2000], np.arange(2000) * 2, np.full(2000, 2)), bytes(8000), 2)
+    ids = np.arange(4000).astype("<u2")
+    shard = S.Shard(pa.BufferReader(S.index_bytes(h[:2000], np.arange(2000) * 2, np.full(2000, 2))), pa.BufferReader(ids.tobytes()), 2)
+    some = np.array([1999, 3, 700, 3])
+    assert {i: r.tolist() for i, r in shard.ids(*shard.find(h[some]))} == {k: [2 * x, 2 * x + 1] for k, x in enumerate(some.tolist())}
     assert shard.find(h[:2000])[0].tolist() == (np.arange(2000) * 2).tolist()
     assert (shard.find(h[2000:])[0] >= 0).sum() <= 1
 
@@ -139,6 +142,16 @@ def test_store_query(spark, sf_dir):
     assert sorted(map(tuple, got)) == expected(rows)
 
 
+def test_very_long_text(spark, tmp_path, monkeypatch):
+    """A text of 2 MB, read back in ranges smaller than it."""
+    monkeypatch.setattr(S, "READ", 1000)
+    rows = [(1, "some words and more " * 100_000), (2, "x"), (3, None), (3, "")]
+    docs = documents(spark, tmp_path, rows, extra=("occurrence", "ids"))
+    store = S.write_store(spark, docs, C.tokenizer_path("byte_bpe_50k.json"), shards=1)
+    got = store.look_up(store.documents, digest=True).join(store.shards.select("shard", "start"), "shard").collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((d, n, c) for d, _, n, c in expected(rows))
+
+
 def test_route_finds_all(spark, tmp_path):
     rows = [(1, "same"), (1, "same"), (1, "other"), (2, "x"), (None, "no id"), (None, "none")]
     store = S.write_store(spark, documents(spark, tmp_path, rows), C.tokenizer_path("byte_bpe_50k.json"), shards=2)
