@@ -302,7 +302,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     m = len(sets)
     who = np.repeat(np.arange(m), [len(s) for s in sets])
     _, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    inter = np.zeros((m, m), np.float32)
+    inter = np.zeros((m, m), np.int64)
     dense = df >= max(8, m // 16)
     column = np.cumsum(dense) - 1
     on = dense[at]
@@ -314,7 +314,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
         a, b = np.searchsorted(c, [lo, lo + width])
         block = np.zeros((m, width), np.float32)
         block[x[a:b], c[a:b] - lo] = 1
-        inter += block @ block.T
+        inter += (block @ block.T).astype(np.int64)  # at most ``width`` each, so exact
     sparse = ~dense & (df > 1)
     on = sparse[at]
     x, t = who[on], at[on]
