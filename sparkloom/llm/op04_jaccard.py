@@ -6,7 +6,8 @@ Two documents link when ``100 * intersection >= percent * union``.  The steps:
    truncated and delta-coded in sorted order, go to token ranges as compact
    blobs (3 to 4 bytes a shingle).  Within a chunk of rows equal sets are sent once.
 2. In each token range, tokens that only one set holds are dropped.  The others
-   return to their chunk with their document frequency.
+   return to their chunk with their document frequency.  Of a token that ``HOT`` sets of
+   a chunk hold only their number is sent, so a token of all documents is a row a chunk.
 3. A set of n tokens can only link if at least ``ceil(t*n)`` of its tokens are
    shared, so most sets end here.  The others keep a *prefix*, their
    ``n - ceil(t*n) + 2`` rarest tokens less the unshared ones: any two linked
@@ -33,6 +34,7 @@ documents.  Empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,8 @@ from .work import Scratch, numbered, table
 PERCENT = 70
 CHUNK_TOKENS = 1 << 21
 CHUNK_DOCS = 1 << 16
+#: Sets of a chunk from which on a token of theirs is counted before it is sent.
+HOT = 64
 #: Tokens and classes of a verification block.
 BLOCK_TOKENS, BLOCK_CLASSES = 400_000, 1024
 #: Candidate rows up to this many are selected by a broadcast list of 8 bytes each; beyond it by a shuffled join.
@@ -109,7 +113,7 @@ def _scan(plan: _Plan):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, docs.schema) as w:
                 w.write_batch(docs)
-            out = [[chunk], [-1], [len(rows[0])], [b""], [press.compress(sink.getvalue().to_pybytes())]]
+            n_rows = len(rows[0])
             key = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
             idx = np.repeat(np.array(list(first.values()), np.uint64), [len(t) for t in tokens]) if tokens else key
             tokens, rows, first, held = [], [[], [], [], []], {}, 0
@@ -121,16 +125,25 @@ def _scan(plan: _Plan):
             else:
                 order = np.argsort(key, kind="stable")
                 key, idx = key[order], idx[order]
-            cut = np.searchsorted(key, np.arange((1 << plan.bucket_bits) + 1, dtype=np.uint64) << U(plan.low_bits))
-            low = key & U((1 << plan.low_bits) - 1)
-            for b in np.flatnonzero(np.diff(cut)).tolist():
-                t, d = low[cut[b] : cut[b + 1]], idx[cut[b] : cut[b + 1]]
-                gap = np.diff(t, prepend=U(0))
-                for column, v in zip(out, (chunk, b, len(t), press.compress(pack(gap, plan.width) + pack(d, 2)), None)):
-                    column.append(v)
-                if len(out[0]) >= 512:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names)
-                    out = [[], [], [], [], []]
+            # tokens of many sets of the chunk: their sets stay with it, and only their number goes to the token range
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            count = np.diff(np.append(start, len(key)))
+            hot = count >= HOT
+            of_hot = np.repeat(hot, count)
+            hot_key, hot_count = key[start[hot]], count[hot]
+            side = pack(hot_key, 8) + pack(hot_count.astype(np.uint64), 3) + pack(idx[of_hot], 2)
+            out = [[chunk], [-1], [n_rows], [struct.pack("<Q", len(hot_key)) + press.compress(side)], [press.compress(sink.getvalue().to_pybytes())]]
+            for mine, value, width, mark in ((key[~of_hot], idx[~of_hot], 2, None), (hot_key, hot_count.astype(np.uint64), 3, b"hot")):
+                cut = np.searchsorted(mine, np.arange((1 << plan.bucket_bits) + 1, dtype=np.uint64) << U(plan.low_bits))
+                low = mine & U((1 << plan.low_bits) - 1)
+                for b in np.flatnonzero(np.diff(cut)).tolist():
+                    t, d = low[cut[b] : cut[b + 1]], value[cut[b] : cut[b + 1]]
+                    gap = np.diff(t, prepend=U(0))
+                    for column, v in zip(out, (chunk, b, len(t), press.compress(pack(gap, plan.width) + pack(d, width)), mark)):
+                        column.append(v)
+                    if len(out[0]) >= 512:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names)
+                        out = [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names)
 
         for batch in batches:
@@ -154,29 +167,30 @@ def _scan(plan: _Plan):
 def _shared(plan: _Plan):
     """Per token range: tokens of two sets or more go back to their chunks, with their frequency."""
 
-    def settle(bucket: int, blobs: list[tuple[int, int, bytes]]) -> tuple[list, list, list, list, list]:
+    def settle(bucket: int, blobs: list[tuple[int, int, bytes, bytes | None]]) -> tuple[list, list, list, list, list]:
         press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        keys, idx = [], []
-        for _, n, data in blobs:
+        keys, values = [], []
+        for _, n, data, hot in blobs:
             raw = memoryview(unpress.decompress(data))
             keys.append(np.cumsum(unpack(raw[: n * plan.width], n, plan.width)))
-            idx.append(unpack(raw[n * plan.width :], n, 2))
-        key, who = np.concatenate(keys), np.repeat(np.arange(len(blobs)), [len(k) for k in keys])
+            values.append(unpack(raw[n * plan.width :], n, 3 if hot else 2))
+        key = np.concatenate(keys)
+        weight = np.concatenate([v.astype(np.int64) if b[3] else np.ones(len(v), np.int64) for v, b in zip(values, blobs)])
         order = np.argsort(key, kind="stable")
         s = key[order]
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         df = np.empty(len(key), np.int64)
-        df[order] = np.repeat(np.diff(np.append(start, len(s))), np.diff(np.append(start, len(s))))
+        df[order] = np.repeat(np.add.reduceat(weight[order], start), np.diff(np.append(start, len(s))))
         out: tuple[list, list, list, list, list] = ([], [], [], [], [])
         at = 0
-        for (chunk, n, _), k, d in zip(blobs, keys, idx):
+        for (chunk, n, _, hot), k, d in zip(blobs, keys, values):
             f = df[at : at + n]
             at += n
             keep = f > 1
             m = int(keep.sum())
             if m:
-                data = pack(np.diff(k[keep], prepend=U(0)), plan.width) + pack(d[keep], 2) + pack(np.minimum(f[keep], 0xFFFFFF), 3)
-                for column, v in zip(out, (chunk, bucket, m, press.compress(data), None)):
+                data = pack(np.diff(k[keep], prepend=U(0)), plan.width) + (b"" if hot else pack(d[keep], 2)) + pack(np.minimum(f[keep], 0xFFFFFF), 3)
+                for column, v in zip(out, (chunk, bucket, m, press.compress(data), hot)):
                     column.append(v)
         return out
 
@@ -192,7 +206,7 @@ def _shared(plan: _Plan):
                 if bucket < 0:
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((chunk, bucket, n, data, docs), kinds)], batch.schema.names)
                 else:
-                    blobs.append((chunk, n, data))
+                    blobs.append((chunk, n, data, docs))
         if blobs:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(settle(now, blobs), kinds)], ["chunk", "bucket", "n", "data", "docs"])
 
@@ -205,7 +219,7 @@ DOCS = "doc_id long, uid long, n long, cls binary, prefix binary, scan long"
 def _prefixes(plan: _Plan, percent: int):
     """Per chunk: the prefix of each set that may link; null for the others and for repeats of a set."""
 
-    def settle(docs: bytes, n: int, blobs: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    def settle(docs: bytes, n: int, side: bytes, blobs: list[tuple[int, int, bytes, bytes | None]]) -> pa.RecordBatch:
         unpress = zstandard.ZstdDecompressor()
         light = pa.ipc.open_stream(unpress.decompress(docs)).read_next_batch()
         size = light.column(2).to_numpy()
@@ -213,11 +227,22 @@ def _prefixes(plan: _Plan, percent: int):
         scan = np.zeros(n, np.int64)
         if blobs:
             key, idx, df = [], [], []
-            for bucket, m, data in blobs:
-                raw, w = memoryview(unpress.decompress(data)), plan.width
-                key.append(np.cumsum(unpack(raw[: m * w], m, w)) | (U(bucket) << U(plan.low_bits)))
-                idx.append(unpack(raw[m * w : m * (w + 2)], m, 2).astype(np.int64))
-                df.append(unpack(raw[m * (w + 2) :], m, 3).astype(np.int64))
+            n_hot = struct.unpack_from("<Q", side)[0]
+            raw = memoryview(unpress.decompress(side[8:]))
+            hot_key, hot_count = unpack(raw[: 8 * n_hot], n_hot, 8), unpack(raw[8 * n_hot : 11 * n_hot], n_hot, 3).astype(np.int64)
+            hot_df = np.zeros(n_hot, np.int64)
+            for bucket, m, data, hot in blobs:
+                raw_, w = memoryview(unpress.decompress(data)), plan.width
+                k = np.cumsum(unpack(raw_[: m * w], m, w)) | (U(bucket) << U(plan.low_bits))
+                if hot:
+                    hot_df[np.searchsorted(hot_key, k)] = unpack(raw_[m * w :], m, 3)
+                else:
+                    key.append(k)
+                    idx.append(unpack(raw_[m * w : m * (w + 2)], m, 2).astype(np.int64))
+                    df.append(unpack(raw_[m * (w + 2) :], m, 3).astype(np.int64))
+            key.append(np.repeat(hot_key, hot_count))
+            idx.append(unpack(raw[11 * n_hot :], int(hot_count.sum()), 2).astype(np.int64))
+            df.append(np.repeat(hot_df, hot_count))
             k, i, f = np.concatenate(key), np.concatenate(idx), np.concatenate(df)
             take = np.bincount(i, minlength=n) - least_shared(size, percent) + SUBSET
             able = take >= SUBSET
@@ -239,10 +264,10 @@ def _prefixes(plan: _Plan, percent: int):
                 if bucket < 0:  # sorted first in its chunk
                     if head:
                         yield settle(*head, blobs)
-                    now, head, blobs = chunk, (docs, n), []
+                    now, head, blobs = chunk, (docs, n, data), []
                 else:
                     assert chunk == now
-                    blobs.append((bucket, n, data))
+                    blobs.append((bucket, n, data, docs))
         if head:
             yield settle(*head, blobs)
 
@@ -419,9 +444,9 @@ def _groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, block_
     found = classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cls", "size", "low", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cid").alias("root"))
     lows = found.groupBy("root").agg(F.min("low").alias("least"))
     found = tmp.keep(found.join(lows, "root").select("cls", (F.col("size") - 1 + F.col("links")).alias("n_similar"), F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("keep_uid")), "found")
-    out = rows.join(found, "cls", "left")
-    alone = F.col("n") == 0
-    return out.select("doc_id", "uid", F.col("n").alias("n_shingles"), F.when(alone, 0).otherwise(F.col("n_similar")).cast("long").alias("n_similar"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("uid")).otherwise(F.col("keep_uid")).alias("keep_uid"))
+    out = rows.filter("n > 0").join(found, "cls").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.col("n_similar").cast("long").alias("n_similar"), "component_id", "keep_uid")
+    empty = rows.filter("n = 0").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"), F.col("uid").alias("keep_uid"))
+    return out.unionByName(empty)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -89,3 +89,20 @@ def test_star_components(spark):
     one = {tuple(x) for x in components(Scratch(spark, "t"), df, "one").collect()}
     far = {tuple(x) for x in components(Scratch(spark, "t"), df, "far", one_task=0).collect()}
     assert one == far
+
+
+@pytest.mark.parametrize("name,value", [("HOT", 2), ("LISTED", -1), ("CHUNK_DOCS", 5)])
+def test_other_paths_give_the_same(spark, tmp_path, monkeypatch, name, value):
+    """Hot shingles counted before they are sent, candidates joined rather than listed, many chunks."""
+    monkeypatch.setattr(J, name, value)
+    rows = corpus(8, 120)
+    got = J.jaccard_groups(spark, documents(spark, tmp_path, rows)).select("doc_id", "n_shingles", "n_similar", "component_id").collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows)
+
+
+def test_intersections_of_large_sets():
+    import numpy as np
+
+    sets = [np.arange(a, a + 70_000, dtype=np.uint64) for a in (0, 1, 30_000)]
+    got = J.intersections(sets)
+    assert [int(got[i, j]) for i, j in ((0, 1), (0, 2), (1, 2), (2, 1))] == [69_999, 40_000, 40_001, 40_001]
