@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import graph as G
+from sparkloom.sources.tables import cut
 
 RATIOS = {"definition": 0.25, "dependency": 0.20, "relations": 0.25, "dataflow": 0.15, "community": 0.15}
 
@@ -33,9 +34,14 @@ class Budget:
 
 
 def fit(rows: DataFrame, size: str, budget: int, order: list) -> DataFrame:
-    """The rows, in order, that start within the budget, with what was left before each."""
-    before = F.coalesce(F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("left_before", (budget - before).cast("long")).filter("left_before > 0")
+    """The rows, in order, that start within the budget, with what was left before each: running sums within ranges of the order, on top of the ranges before."""
+    n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = cut(rows.repartitionByRange(int(n), *order).withColumn("_part", F.spark_partition_id()))
+    past = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("_part").agg(F.sum(size).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(past.orderBy("_part")), F.lit(0)))  # a row a partition
+    near = parts.join(F.broadcast(sums.filter(F.col("_base") < budget).select("_part", "_base")), "_part")
+    before = F.col("_base") + F.coalesce(F.sum(size).over(past.partitionBy("_part").orderBy(*order)), F.lit(0))
+    return near.withColumn("left_before", (budget - before).cast("long")).filter("left_before > 0").drop("_part", "_base")
 
 
 def _names(df: DataFrame, most: int, title: str) -> DataFrame:

@@ -48,6 +48,25 @@ def knn_one(vectors: DataFrame, query: list[float], key: str, vector: str, k: in
     return vectors.select("*", F.round(s, digits).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def _distances(x: np.ndarray, queries: np.ndarray, product: np.ndarray, k: int) -> np.ndarray:
+    """Negative distances (queries x rows); -inf where a row can't be among a query's best k.
+
+    The expanded square loses digits on nearly equal vectors, so it only rules rows out, by a
+    bound on its error; all others are measured by differences.
+    """
+    square = (queries**2).sum(1)[:, None] + (x**2).sum(1)[None]
+    error = 8 * x.shape[1] * np.finfo(float).eps * square
+    near = square - 2 * product
+    m = min(k, len(x))
+    reach = np.sqrt(np.maximum(np.partition(near + error, m - 1, axis=1)[:, m - 1], 0)) + 2e-6  # ties after rounding count
+    q, r = np.nonzero(np.sqrt(np.maximum(near - error, 0)) <= reach[:, None])
+    out = np.full(product.shape, -np.inf)
+    for lo in range(0, len(q), 65536):
+        i, j = q[lo : lo + 65536], r[lo : lo + 65536]
+        out[i, j] = -np.sqrt(((x[j] - queries[i]) ** 2).sum(1))
+    return out
+
+
 def _best(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, key: str, vector: str):
     norm = np.sqrt((queries**2).sum(1))
 
@@ -61,8 +80,7 @@ def _best(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, key: str, v
             x = np.stack(keep.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
             p = queries @ x.T
             if metric == "l2":
-                # differences, not the expanded square: nearly equal vectors must keep their distance
-                p = -np.stack([np.sqrt(((x - q) ** 2).sum(1)) for q in queries]) if len(queries) <= 64 else -np.sqrt(np.maximum(norm[:, None] ** 2 + (x**2).sum(1)[None] - 2 * p, 0))
+                p = _distances(x, queries, p, k)
             elif metric == "cosine":
                 p = p / (norm[:, None] * np.sqrt((x**2).sum(1))[None])
             s = np.concatenate([top_s, np.round(p, 6)], 1)
@@ -70,8 +88,8 @@ def _best(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, key: str, v
             order = np.lexsort((i, -s), axis=1)[:, :k]
             top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
         if top_s.shape[1]:
-            n = top_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(top_i.reshape(-1)), pa.array(top_s.reshape(-1))], ["query_id", key, "score"])
+            q, at = np.nonzero(np.isfinite(top_s))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(top_i[q, at]), pa.array(top_s[q, at])], ["query_id", key, "score"])
 
     return run
 

@@ -221,9 +221,9 @@ def token_budget(spark: SparkSession, d: str) -> DataFrame:
 
 @query("budget_fit", "SELECT doc_id, left_before FROM (SELECT doc_id, 5000 - coalesce(sum(n_chars) OVER (ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS left_before FROM documents) WHERE left_before > 0")
 def budget_fit(spark: SparkSession, d: str) -> DataFrame:
-    """The shortest documents that fit in a budget; only as many as could ever fit are ordered."""
+    """The shortest documents that fit in a budget."""
     rows = table(spark, d, "documents").select("doc_id", "n_chars")
-    return C.fit(rows.orderBy("n_chars", "doc_id").limit(5001), "n_chars", 5000, ["n_chars", "doc_id"]).select("doc_id", "left_before")
+    return C.fit(rows, "n_chars", 5000, ["n_chars", "doc_id"]).select("doc_id", "left_before")
 
 
 @query("impact_context")

@@ -17,8 +17,11 @@ SUFFIXES = "css go htm html java js jsx py rs ts tsx".split()
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """Source files below a folder (path, content, language): known suffixes, without ignored folders.  Bytes that aren't UTF-8 are replaced."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join([*SUFFIXES, *(s.upper() for s in SUFFIXES)]) + "}").load(root)
-    inside = F.element_at(F.split("path", root.rstrip("/").rpartition(":")[2].replace(".", r"\.") + "/", 2), -1)
+    either = lambda s: "".join(f"[{c}{c.upper()}]" for c in s)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(map(either, SUFFIXES)) + "}").load(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)  # noqa: SLF001
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()  # noqa: SLF001
+    inside = F.substring("path", len(whole.rstrip("/")) + 2, 1 << 20)
     rel = files.select(inside.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified"))
     parts = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     return rel.filter(~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in sorted(IGNORED)]))).withColumn("language", language_of_path("path"))

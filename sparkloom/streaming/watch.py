@@ -14,10 +14,7 @@ from sparkloom.sources.tables import cut
 
 def tick(index: store.Index, now: DataFrame, update: Callable[[DataFrame, DataFrame], None]) -> DataFrame:
     """Compare the listing ``now`` (path, content) with the index's ``files`` and hand over what changed: (new or modified files, changes)."""
-    try:
-        old = index.read("files")
-    except Exception:  # noqa: BLE001 - there is no index yet
-        old = now.limit(0)
+    old = index.read("files") if index.version() else now.limit(0)
     # not cached: the plan of a later tick may be the same, and would be given this one's rows
     changes = cut(store.changed(old.select("path", "content"), now.select("path", "content")))
     if not changes.isEmpty():
