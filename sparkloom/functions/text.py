@@ -85,7 +85,7 @@ def trigram_jaccard(a: Name, b: Name) -> Column:
 
 # -- paths and languages --------------------------------------------------------
 
-_SUFFIXES = "css:css go:go html:htm,html java:java javascript:js,jsx python:py rust:rs typescript:ts,tsx"
+_SUFFIXES = "css:css go:go html:html,htm java:java javascript:js,jsx python:py rust:rs typescript:ts,tsx"
 SUFFIX_LANGUAGE = {s: k for k, ss in (x.split(":") for x in _SUFFIXES.split()) for s in ss.split(",")}
 ALIASES = {**SUFFIX_LANGUAGE, "golang": "go", "mjs": "javascript"}
 FAMILY = {"typescript": ("javascript", "typescript"), "javascript": ("javascript", "typescript")}
@@ -121,6 +121,20 @@ def glob_regex(pattern: str) -> str:
     return "^" + re.sub(r"\\[Zz]$", r"\\z", fnmatch.translate(pattern))
 
 
+def suffixes_of(language: str) -> list[str]:
+    """A language's file suffixes, the commonest first."""
+    return [s for s, lang in SUFFIX_LANGUAGE.items() if lang == normal_language(language)]
+
+
+def file_glob(language: str | None = None, active_file: str | None = None) -> str | None:
+    """A pattern for files of a language, else for files like the active one; None if neither says anything."""
+    found = suffixes_of(language or "")
+    if found:
+        return f"*.{found[0]}"
+    suffix = (active_file or "").rpartition(".")[2]
+    return f"*.{suffix}" if suffix and "." in (active_file or "") and "/" not in suffix else None
+
+
 def path_like(c: Name, pattern: str | None) -> Column:
     return col(c).rlike(glob_regex(pattern)) if pattern else F.lit(True)
 

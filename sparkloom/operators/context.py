@@ -72,15 +72,22 @@ def search_context(results: DataFrame, tokens: int, snippet: int = 500) -> DataF
     return kept.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("context"), F.count(F.lit(1)).alias("results"))
 
 
-def structured_context(symbol: str, symbols: DataFrame, edges: DataFrame, flows: DataFrame | None = None, members: DataFrame | None = None, budget: Budget | None = None) -> DataFrame:
-    """section, tokens, text: definition, dependencies, relations, data flow and community of a symbol."""
+def structured_context(symbol: str, symbols: DataFrame, edges: DataFrame, flows: DataFrame | None = None, members: DataFrame | None = None, budget: Budget | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """section, tokens, text: definition, dependencies, relations, data flow and community of a symbol.
+
+    ``scope`` (node, layer, gap) is the layers that the purpose looks at; without it the
+    dependencies are what the symbol uses.  Names in a section are as many as its share of
+    the budget holds, at 30 tokens each (relations: 40).
+    """
     share = (budget or Budget()).allocate()
     spark = symbols.sparkSession
     one = symbols.filter((F.col("qualified_name") == symbol) | (F.col("name") == symbol)).orderBy("qualified_name").limit(1)
     definition = one.agg(F.first(F.concat_ws("\n", F.concat_ws(" ", "symbol_type", "qualified_name"), "signature", F.concat_ws(":", "file_path", "line_number"))).alias("text"))
     start = spark.createDataFrame([(symbol,)], "node string")
     callees, callers = G.k_hop(edges, start, 1), G.k_hop(G.reverse(G.edges_of(edges)), start, 1)
-    sections = {"definition": definition, "dependency": _names(callees, max(5, share["dependency"] // 30), "Uses"), "relations": _names(callers, max(5, share["relations"] // 40), "Used by")}
+    near = scope.filter(F.col("node") != symbol).select("node", F.col("gap").alias("depth")) if scope is not None else callees
+    both = callers.select("node", F.lit(0).alias("depth")).unionByName(callees.select("node", F.lit(1).alias("depth")).join(callers.select("node"), "node", "left_anti")) if scope is not None else callers
+    sections = {"definition": definition, "dependency": _names(near, max(5, share["dependency"] // 30), "Layers" if scope is not None else "Uses"), "relations": _names(both, max(5, share["relations"] // 40), "Calls" if scope is not None else "Used by")}
     if flows is not None:
         rows = flows.filter(F.col("sink").contains(symbol) | F.col("source").contains(symbol)).select(F.concat_ws(" -> ", "source", "sink").alias("node"), F.lit(0).alias("depth")).distinct()
         sections["dataflow"] = _names(rows, 8, "Data flow")

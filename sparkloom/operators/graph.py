@@ -273,6 +273,38 @@ def cycles_members(edges: DataFrame) -> DataFrame:
     return c.join(n, "component").select("node", "component", "size")
 
 
+def cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
+    """Simple cycles of 2 to ``longest`` nodes, each once, from its least node on: path (array), length."""
+    inside = scc(edges)
+    e = edges_of(edges).filter("src <> dst").distinct()
+    e = e.join(inside.toDF("src", "_a"), "src").join(inside.toDF("dst", "_b"), "dst").filter("_a = _b").select("src", "dst")
+    e = cut(e)
+    paths, found = e.filter("src < dst").select(F.array("src", "dst").alias("path")), None
+    for n in range(2, longest + 1):
+        last = F.element_at("path", -1)
+        back = paths.join(e, (last == F.col("src")) & (F.element_at("path", 1) == F.col("dst")), "left_semi").select("path", F.lit(n).alias("length"))
+        found = back if found is None else found.unionByName(back)
+        if n < longest:
+            more = paths.join(e, last == F.col("src")).filter(F.col("dst") > F.element_at("path", 1)).filter(~F.array_contains("path", F.col("dst")))
+            paths = cut(more.select(F.concat("path", F.array("dst")).alias("path")))
+    return found
+
+
+def layer_of(found: DataFrame, node: str) -> DataFrame:
+    """A node's layer; of an unknown name that of the least node that ends in it, else contains it."""
+    kind = F.when(F.col("node") == node, 0).when(F.col("node").endswith("." + node), 1).when(F.col("node").contains(node), 2)
+    return found.select("node", "layer", kind.alias("_k")).filter("_k IS NOT NULL").orderBy("_k", "node").limit(1).select("node", "layer")
+
+
+def layer_nodes(found: DataFrame, layer: int) -> DataFrame:
+    return found.filter(F.col("layer") == layer).select("node")
+
+
+def layer_info(found: DataFrame) -> DataFrame:
+    """layer, layer_type, name, n_nodes."""
+    return layer_types(found).select("layer", "layer_type", F.concat(F.initcap("layer_type"), F.lit(" layer "), F.col("layer").cast("string")).alias("name"), "n_nodes")
+
+
 # -- communities ------------------------------------------------------------------
 
 
@@ -289,6 +321,78 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return now
 
 
+def _move_nodes(src: list, dst: list, rounds: int = 20) -> dict:
+    """Greedy modularity: nodes move to the neighbouring community of most gain, in order, then communities are nodes; undirected, edges of weight 1."""
+    weight: dict = {}
+    for a, b in {(min(a, b), max(a, b)) for a, b in zip(src, dst) if a != b}:
+        weight.setdefault(a, {})[b] = weight.setdefault(b, {})[a] = 1.0
+    label = {n: n for n in weight}
+    now = weight
+    while True:
+        total = sum(sum(v.values()) for v in now.values())
+        own = {n: n for n in now}
+        degree = {n: sum(v.values()) for n, v in now.items()}
+        held = dict(degree)
+        moved = False
+        for _ in range(rounds):
+            still = True
+            for n in sorted(now):
+                to: dict = {}
+                for m, w in now[n].items():
+                    if m != n:
+                        to[own[m]] = to.get(own[m], 0.0) + w
+                held[own[n]] -= degree[n]
+                gain = lambda c: to.get(c, 0.0) - held[c] * degree[n] / total  # noqa: B023, E731
+                best = max(sorted({*to, own[n]}), key=lambda c: (gain(c), c == own[n]))  # noqa: B023
+                held[best] += degree[n]
+                if best != own[n]:
+                    own[n], still, moved = best, False, True
+            if still:
+                break
+        if not moved:
+            break
+        label = {n: own[c] for n, c in label.items()}
+        merged: dict = {}
+        for n, v in now.items():
+            for m, w in v.items():
+                row = merged.setdefault(own[n], {})
+                row[own[m]] = row.get(own[m], 0.0) + w
+        now = merged
+    least: dict = {}
+    for n, c in label.items():
+        least[c] = min(n, least.get(c, n))
+    return {n: least[c] for n, c in label.items()}
+
+
+def communities(edges: DataFrame, nodes: DataFrame | None = None, method: str = "modularity", one_task: int = ONE_TASK) -> DataFrame:
+    """node, community (its least node).  Nodes without edges are communities of their own; fewer than two nodes have none.
+
+    ``modularity`` merges greedily in one task and takes at most ``one_task`` edges;
+    ``labels`` propagates labels in distributed rounds, at any size.
+    """
+    e = cut(edges_of(edges).filter("src <> dst").distinct())
+    kind = dict(e.dtypes)["src"]
+    if method == "labels":
+        found = label_propagation(e)
+    elif e.count() > one_task:
+        raise ValueError(f"modularity takes at most {one_task} edges; use method='labels'")
+    else:
+
+        def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            got = list(batches)
+            if got:
+                own = _move_nodes(*(pd.concat(got)[c].tolist() for c in ("src", "dst")))
+                yield pd.DataFrame({"node": list(own), "community": list(own.values())})
+
+        found = e.repartition(1).mapInPandas(solve, f"node {kind}, community {kind}")
+    if nodes is not None:
+        found = cut(found)
+        lone = nodes.select("node").distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("community"))
+        found = found.unionByName(lone)
+    found = cut(found)
+    return found if found.limit(2).count() == 2 else found.limit(0)
+
+
 def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:
     """community, n_members, internal_edges, cohesion = internal / n (n - 1).  ``members``: node, community."""
     e = edges_of(edges).distinct()

@@ -109,7 +109,7 @@ def features(c: DataFrame, query: str, context_boost: float = 0.03) -> DataFrame
         channel.alias("channel_boost"),
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), match * context_boost * 10)).alias("context_prior"),
         F.least(F.coalesce(get("score", "double"), F.lit(0.0)), F.lit(1.0)).alias("rrf_prior"),
-        overlap(q, F.array_union(token_set(get("qualified_name")), token_set(get("file_path")))).alias("owner_match"),
+        overlap(q, F.array_union(F.array_union(token_set(get("qualified_name")), token_set(get("file_path"))), token_set(get("owner_text")))).alias("owner_match"),
         overlap(q, aliases(parts)).alias("alias_match"),
         match.alias("_match"),
     )

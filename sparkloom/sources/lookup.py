@@ -54,6 +54,15 @@ def symbols_by_name(symbols: DataFrame, name: str, top_k: int = 10) -> DataFrame
     return found.orderBy(F.desc(F.col("name") == last), F.desc("score"), "qualified_name").limit(top_k)
 
 
+def symbols_fts(symbols: DataFrame, name: str, limit: int = 5) -> DataFrame:
+    """BM25 (all terms) over name, qualified name, signature and file: the best ``limit``."""
+    return bm25(symbols, re.sub("[.()]+", " ", name), "qualified_name", ["name", "qualified_name", "signature", "file_path"], limit, keep=["name", "file_path", "symbol_type"])
+
+
+def search_document(docs: DataFrame, chunk_id: str) -> DataFrame:
+    return docs.filter(F.col("chunk_id") == chunk_id).select("search_text")
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")

@@ -66,6 +66,9 @@ def embedding_work(chunks: DataFrame, docs: DataFrame, cache: DataFrame, dtype:
     return full.select("chunk_id", code.alias("needs_code"), doc.alias("needs_doc")).filter("needs_code OR needs_doc")
 
 
+EMBEDDING_CACHE = "chunk_id string, content_hash string, search_doc_hash string, vector_dtype string, updated_at timestamp"
+
+
 def mark_cache(cache: DataFrame, chunks: DataFrame, docs: DataFrame, dtype: str = "float32") -> DataFrame:
     """The cache with these chunks' hashes as current."""
     rows = chunks.select(F.col("id").alias("chunk_id"), "content").join(docs.select("chunk_id", "search_text"), "chunk_id", "left")
@@ -73,6 +76,22 @@ def mark_cache(cache: DataFrame, chunks: DataFrame, docs: DataFrame, dtype: str
     return upsert(cache, new, ["chunk_id"])
 
 
+def embedding_status(chunks: DataFrame, docs: DataFrame, cache: DataFrame, code_vectors: DataFrame, doc_vectors: DataFrame, dtype: str = "float32") -> DataFrame:
+    """chunk_id, code_current, doc_current: the cached hash is the content's, and the vector is there."""
+    work = embedding_work(chunks, docs, cache, dtype)
+    held = lambda v, name: v.filter("embedding IS NOT NULL").select("chunk_id").distinct().withColumn(name, F.lit(True))
+    out = chunks.select(F.col("id").alias("chunk_id")).join(work, "chunk_id", "left").join(held(code_vectors, "_c"), "chunk_id", "left").join(held(doc_vectors, "_d"), "chunk_id", "left")
+    there = lambda need, vector: ~F.coalesce(F.col(need), F.lit(False)) & F.col(vector).isNotNull()
+    return out.select("chunk_id", there("needs_code", "_c").alias("code_current"), there("needs_doc", "_d").alias("doc_current"))
+
+
+def check_vector_type(vectors: DataFrame, dtype: str) -> None:
+    """Raises where a table's vectors are of another type than is asked for."""
+    kind = {"array<float>": "float32", "array<double>": "float32", "array<tinyint>": "int8"}.get(dict(vectors.dtypes)["embedding"])
+    if kind != dtype:
+        raise ValueError(f"the index holds {kind} vectors, not {dtype}; build it anew")
+
+
 # -- a cache of results ----------------------------------------------------------------
 
 #: Levels and their time to live in seconds; 0: for ever.
