@@ -63,7 +63,7 @@ def _distances(x: np.ndarray, queries: np.ndarray, product: np.ndarray, k: int)
     out = np.full(product.shape, -np.inf)
     for lo in range(0, len(q), 65536):
         i, j = q[lo : lo + 65536], r[lo : lo + 65536]
-        out[i, j] = -np.sqrt(((x[j] - queries[i]) ** 2).sum(1))
+        out[i, j] = 0.0 - np.sqrt(((x[j] - queries[i]) ** 2).sum(1))
     return out
 
 

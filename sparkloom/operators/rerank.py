@@ -56,10 +56,10 @@ def imports(content: Column) -> Column:
 
 
 #: What short names mean, by a word of the name.  Of no weight in the models; for explanations.
-_ALIASES = """alpha:alphabetic,cracking,cipher,decoder,hash count:collection,elements,length,number,size has:contains,exists,key,member,presence init:configuration,constructor,initialize,setup,state
-into:convert,output,transform,value json:deserialization,element,object,serialization len:collection,count,elements,number,size length:collection,count,elements,number,size max:bound,compare,largest,maximum,upper
-min:bound,compare,lower,minimum,smallest null:check,empty,missing,none,type options:arguments,command,configuration,defaults,settings opts:arguments,command,configuration,defaults,settings random:alphanumeric,generate,sequence
-repr:debug,printable,representation run:command,execute,process,start,task stat:file,information,metadata,statistics,status str:convert,display,representation,text u64:bit,identifier,integer,numeric,unsigned"""
+_ALIASES = """add:append,insert,put args:arguments,options auth:authentication,login cfg:configuration,settings cmp:compare,order conn:connection count:length,number,size ctx:context db:database,storage del:delete,remove
+dict:mapping,table dir:directory,folder env:environment,variables err:error,failure exec:execute,run fmt:format,text fn:callback,function get:fetch,find,read idx:index,position init:create,prepare,start json:parsed,serialized
+len:count,length,size max:greatest,largest,limit min:least,smallest,limit msg:message,text null:empty,missing,none num:count,number obj:object,value opts:arguments,options,settings parse:decode,read req:request res:response,result
+run:execute,start set:assign,store,write stat:file,metadata,status str:string,text tmp:temporary to:convert,into url:address,link util:helper val:value"""
 
 
 def aliases(parts: Column) -> Column:

@@ -234,3 +234,25 @@ def name_resolution(spark: SparkSession, d: str) -> DataFrame:
 @query("fuzzy_match", f"WITH {_LINKS_SQL}, {_NODES_SQL} SELECT node FROM nodes WHERE contains(node, 'tion') AND NOT EXISTS (SELECT 1 FROM nodes WHERE ends_with(node, '.tion')) OR ends_with(node, '.tion')")
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     return G.fuzzy(G.nodes_of(links(spark, d)), "tion")
+
+
+@query(
+    "graph_cycles",
+    f"""WITH {_LINKS_SQL}, e AS (SELECT * FROM links WHERE src <> dst)
+SELECT a.src || ' > ' || a.dst AS path, 2::INT AS length FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
+UNION ALL SELECT a.src || ' > ' || a.dst || ' > ' || b.dst, 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""",
+)
+def graph_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Circular dependencies of two and three nodes, listed."""
+    return G.cycles(links(spark, d), 3).select(F.array_join("path", " > ").alias("path"), "length")
+
+
+@query(
+    "scoped_layer",
+    "SELECT layer, count(*)::BIGINT AS nodes FROM (SELECT node, len(node) AS layer FROM (SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS node FROM pages)) WHERE layer = (SELECT len(node) FROM (SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS node FROM pages) WHERE contains(node, 'the') ORDER BY (CASE WHEN node = 'the' THEN 0 WHEN ends_with(node, '.the') THEN 1 ELSE 2 END), node LIMIT 1) GROUP BY layer",
+)
+def scoped_layer(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of the layer that a name is in, found by part of it (layers are given: the lengths of names)."""
+    found = G.nodes_of(links(spark, d)).unionByName(table(spark, d, "pages").select(F.explode(F.expr("regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)")).alias("node"))).distinct().withColumn("layer", F.length("node").cast("long"))
+    own = G.layer_of(found, "the").select(F.col("layer").alias("own"))
+    return found.join(F.broadcast(own), F.col("layer") == F.col("own")).groupBy("layer").agg(F.count(F.lit(1)).alias("nodes"))  # one row

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import documents as D
-from sparkloom.functions.text import language_of_path
+from sparkloom.functions.text import file_glob, language_of_path, path_like
 from sparkloom.operators import context as C
 from sparkloom.operators import dataflow as FL
 from sparkloom.sources import lookup, parse, sample, store
@@ -17,6 +17,7 @@ from sparkloom.streaming.watch import windowed_counts
 from .base import query
 from .features import _list
 from .graphs import START, links
+from .lexical import bm25_sql
 
 
 def files(spark: SparkSession) -> DataFrame:
@@ -59,19 +60,46 @@ def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return embed(D.search_documents(c, s).withColumn("t", D.embedding_text("search_text")), "chunk_id", "t", HashingProvider(64))
 
 
-@query("dataflow_inputs")
+#: Documents as Python files, and each one's longest word as a function with one parameter of that name.
+_FILES_SQL = """
+f AS (SELECT 'd' || doc_id || '.py' AS path, coalesce(text, '') AS content FROM documents),
+ln AS (SELECT path, unnest(range(1, len(l) + 1))::INT AS line_number, unnest(list_transform(l, lambda x: trim(x, ' '))) AS line FROM (SELECT path, regexp_split_to_array(content, '\\r?\\n') AS l FROM f)),
+tg AS (SELECT *, CASE WHEN contains(line, '=') AND regexp_matches(t, '^[\\p{L}_]') THEN t END AS target FROM (SELECT *, trim(split_part(trim(split_part(trim(split_part(line, '=', 1), ' '), ',', 1), ' '), ':', 1), ' ') AS t FROM ln)),
+k AS (SELECT path, line_number, target, unnest(list_distinct(""" + " || ".join(f"CASE WHEN contains(line, '{p}') THEN ['{t}'] ELSE []::VARCHAR[] END" for p, t in FL.INPUTS.items()) + """)) AS source FROM tg WHERE target IS NOT NULL),
+inputs AS (SELECT DISTINCT source, path || ':' || target AS sink, path AS file_path, line_number FROM k),
+vr AS (SELECT path, line_number, CASE WHEN trim(regexp_extract(line, 'isinstance\\(([^,]*),', 1), ' ') <> '' THEN trim(regexp_extract(line, 'isinstance\\(([^,]*),', 1), ' ') WHEN trim(regexp_extract(line, 'type\\(([^)]*)\\)', 1), ' ') <> '' THEN trim(regexp_extract(line, 'type\\(([^)]*)\\)', 1), ' ')
+  WHEN regexp_extract(line, '(\\S+)\\s*\\.validate', 1) <> '' THEN regexp_extract(line, '(\\S+)\\s*\\.validate', 1) END AS var, CASE WHEN """ + " OR ".join(f"contains(line, '{x}')" for x in FL.FULL) + """ THEN 'full' WHEN contains(line, 'isinstance') OR contains(line, 'type(') OR contains(line, 'assert ') THEN 'type_check' END AS level FROM ln),
+lv AS (SELECT i.source, i.sink, i.file_path, i.line_number, arg_max(v.level, v.line_number) AS level FROM inputs i JOIN vr v ON v.path = i.file_path AND v.var IS NOT NULL AND v.level IS NOT NULL AND (contains(i.sink, v.var) OR contains(i.source, v.var)) GROUP BY ALL),
+wash AS (SELECT DISTINCT path, target AS var FROM tg WHERE target IS NOT NULL AND (""" + " OR ".join(f"contains(line, '{x}')" for x in FL.CLEANERS) + """)),
+cl AS (SELECT DISTINCT i.source, i.sink, i.file_path, i.line_number FROM inputs i JOIN wash w ON w.path = i.file_path AND (contains(i.sink, w.var) OR contains(i.source, w.var))),
+flows AS (SELECT i.*, coalesce(lv.level, 'none') AS validation_level, cl.source IS NOT NULL AS sanitized FROM inputs i LEFT JOIN lv USING (source, sink, file_path, line_number) LEFT JOIN cl USING (source, sink, file_path, line_number))"""
+
+
+def document_flows(spark: SparkSession, d: str) -> DataFrame:
+    """The outside inputs in all documents, read as Python lines."""
+    rows = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".py")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    none = spark.createDataFrame([], parsed(spark)[1].schema)
+    return FL.flows(rows, none).select("source", "sink", "file_path", "line_number", "validation_level", "sanitized").distinct()
+
+
+@query("dataflow_inputs", f"WITH {_FILES_SQL} SELECT source, sink, file_path, line_number FROM flows")
 def dataflow_inputs(spark: SparkSession, d: str) -> DataFrame:
-    return FL.flows(files(spark), parsed(spark)[1]).filter("transform = 'input'")
+    return document_flows(spark, d).select("source", "sink", "file_path", "line_number")
 
 
-@query("dataflow_validation")
+@query("dataflow_validation", f"WITH {_FILES_SQL} SELECT source, validation_level, sanitized, count(*)::BIGINT AS flows FROM flows GROUP BY ALL")
 def dataflow_validation(spark: SparkSession, d: str) -> DataFrame:
-    return FL.flows(files(spark), parsed(spark)[1]).groupBy("validation_level", "sanitized", "nullable").agg(F.count(F.lit(1)).alias("flows"))
+    return document_flows(spark, d).groupBy("source", "validation_level", "sanitized").agg(F.count(F.lit(1)).alias("flows"))
 
 
-@query("unvalidated_inputs")
+@query("unvalidated_inputs", f"WITH {_FILES_SQL} SELECT file_path, count(*)::BIGINT AS inputs FROM flows WHERE validation_level = 'none' GROUP BY file_path")
 def unvalidated_inputs(spark: SparkSession, d: str) -> DataFrame:
-    return FL.unvalidated_inputs(FL.flows(files(spark), parsed(spark)[1]))
+    return FL.unvalidated_inputs(document_flows(spark, d)).groupBy("file_path").agg(F.count(F.lit(1)).alias("inputs"))
+
+
+@query("dataflow_sample")
+def dataflow_sample(spark: SparkSession, d: str) -> DataFrame:
+    return FL.flows(files(spark), parsed(spark)[1])
 
 
 @query("html_title_chunks", "SELECT url || '#' || trim(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)) AS id, trim(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)) AS docstring, (length(html) - length(replace(html, chr(10), '')) + 1)::BIGINT AS end_line FROM pages")
@@ -203,15 +231,85 @@ def symbol_chunk_fallback(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("l_orderkey").agg(F.min_by("p_partkey", F.struct("prio", "p_partkey")).alias("chosen"))
 
 
-@query("qualified_lookup")
+#: Suppliers as symbols of their nation's file, parts' names as chunks.
+_LOOKUP_SQL = """
+s AS (SELECT n_name || '.' || s_name AS qualified_name, s_name AS name, n_name AS file_path FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT 'c' || s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'other' ELSE s_name END AS symbol_name, CASE WHEN s_suppkey % 2 = 0 THEN n_name END AS parent_symbol, CASE WHEN s_suppkey % 5 = 0 THEN 'moved' ELSE n_name END AS file_path, s_suppkey AS start_line FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+w AS (SELECT qualified_name AS q, file_path AS f, split_part(qualified_name, '.', -1) AS n, split_part(qualified_name, '.', -2) AS p FROM s),
+h AS (SELECT q AS name, id, CASE WHEN c.file_path = f AND parent_symbol IS NOT DISTINCT FROM p THEN 0 WHEN c.file_path = f THEN 1 ELSE 2 END AS prio, c.file_path, start_line FROM w JOIN c ON symbol_name = n
+  UNION ALL SELECT q, id, 3, c.file_path, start_line FROM w JOIN c ON c.file_path = f)
+SELECT name, arg_min(id, (prio, file_path, start_line, id)) AS id, min(prio)::INT AS prio FROM h GROUP BY name"""
+
+
+@query("qualified_lookup", "WITH " + _LOOKUP_SQL)
 def qualified_lookup(spark: SparkSession, d: str) -> DataFrame:
-    c, s, calls = parsed(spark)
-    return lookup.chunks_by_qualified(calls.select(F.col("callee").alias("name")), c, s)
+    """Every symbol's chunk: in its class and file, in its file, of its name anywhere, else its file's first."""
+    s = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # nations: a fixed table
+    symbols = s.select(F.concat_ws(".", "n_name", "s_name").alias("qualified_name"), F.col("s_name").alias("name"), F.col("n_name").alias("file_path"))
+    k = F.col("s_suppkey")
+    chunks = s.select(F.concat(F.lit("c"), k).alias("id"), F.when(k % 3 == 0, "other").otherwise(F.col("s_name")).alias("symbol_name"), F.when(k % 2 == 0, F.col("n_name")).alias("parent_symbol"), F.when(k % 5 == 0, "moved").otherwise(F.col("n_name")).alias("file_path"), k.alias("start_line"))
+    return lookup.chunks_by_qualified(symbols.select(F.col("qualified_name").alias("name")), chunks, symbols)
 
 
-@query("symbols_by_name")
+_NAMED = "(SELECT 'p' || p_partkey AS qualified_name, p_name AS name, p_brand || ' ' || p_type AS signature, p_brand AS file_path, p_type AS symbol_type FROM part)"
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("qualified_name"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_brand", "p_type").alias("signature"), F.col("p_brand").alias("file_path"), F.col("p_type").alias("symbol_type"))
+
+
+@query("symbols_by_name", f"SELECT * FROM ({bm25_sql('red bolt', _NAMED, 'qualified_name, name, file_path, symbol_type', ['name', 'signature'], 'qualified_name', 10**9, False)}) ORDER BY (name = 'red bolt') DESC, score DESC, qualified_name LIMIT 5")
 def symbols_by_name(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.symbols_by_name(parsed(spark)[1], "read_json", 5)
+    return lookup.symbols_by_name(_named(spark, d), "red bolt", 5)
+
+
+@query("symbols_fts", bm25_sql("red bolt", _NAMED, "qualified_name, name, file_path, symbol_type", ["name", "qualified_name", "signature", "file_path"], "qualified_name", 5, False))
+def symbols_fts(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.symbols_fts(_named(spark, d), "red bolt", 5)
+
+
+@query(
+    "embedding_status",
+    _TWO + """, cache AS (SELECT id AS chunk_id, sha256(content) AS h, sha256('doc ' || content) AS g FROM old WHERE source <> 'src5')
+SELECT n.id AS chunk_id, coalesce(c.h = sha256(n.content), false) AND n.source <> 'src3' AS code_current, coalesce(c.g = sha256('doc ' || n.content), false) AND n.source <> 'src6' AS doc_current FROM now n LEFT JOIN cache c ON c.chunk_id = n.id""",
+)
+def embedding_status(spark: SparkSession, d: str) -> DataFrame:
+    old, now = _old_new(spark, d)
+    docs = lambda x: x.select(F.col("id").alias("chunk_id"), F.concat(F.lit("doc "), "content").alias("search_text"))
+    known = old.filter("source <> 'src5'")
+    cache = store.mark_cache(spark.createDataFrame([], store.EMBEDDING_CACHE), known, docs(known))
+    vectors = lambda gone: now.filter(F.col("source") != gone).select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0)).alias("embedding"))
+    return store.embedding_status(now, docs(now), cache, vectors("src3"), vectors("src6"))
+
+
+_RETURNS = r"""yields values one by one=\byield\b
+returns true or false=\breturn\s+(true|false)\b
+returns nothing=\breturn\s+(none|null|nil)\b
+returns a mapping=\breturn\s+(\{|dict\()
+returns a sequence=\breturn\s+(\[|\(|list\(|tuple\()
+returns text=\breturn\s+(str\(|f?["''])
+returns parsed json=\bjson\.loads?\b
+returns a value=\breturn\s+\S"""
+
+
+@query("return_summary", "SELECT doc_id, CASE " + " ".join("WHEN regexp_matches(t, '{1}') THEN '{0}'".format(*x.split("=", 1)) for x in _RETURNS.splitlines()) + " ELSE '' END AS said FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")
+def return_summary(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", D.return_summary("text", F.lit(None).cast("string")).alias("said"))
+
+
+@query(
+    "clean_summary",
+    rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: regexp_replace(x, '^[\s"''*/#]+|[\s"''*/#]+$', '', 'g')), lambda x: regexp_matches(x, '[^-:*=_ ]') AND NOT list_contains({_list(D.SECTION_HEADS)}, lower(regexp_replace(x, ':+$', '')))) AS l FROM documents),
+w AS (SELECT doc_id, trim(regexp_replace(array_to_string(l, ' '), '\s+', ' ', 'g'), ' ') AS w FROM l)
+SELECT doc_id, CASE WHEN length(w) <= 260 THEN w WHEN contains(w[1:260], ' ') THEN regexp_replace(w[1:260], ' [^ ]*$', '') ELSE w[1:260] END AS summary FROM w""",
+)
+def clean_summary(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", D.clean_summary(F.col("text")).alias("summary"))
+
+
+@query("file_globs", "SELECT p_partkey, p_name || '.x' GLOB '*.x' AS hit FROM part")
+def file_globs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", path_like(F.concat("p_name", F.lit(".x")), file_glob(active_file="src/main.x")).alias("hit"))
 
 
 @query("token_budget", "SELECT * FROM (VALUES ('definition', 27000::BIGINT), ('relations', 27000), ('dependency', 21600), ('dataflow', 16200), ('community', 16200)) t(section, tokens)")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +66,14 @@ WHEN {_any(_LOW, R.ISSUE_STRONG)} OR ({_N} >= 10 AND {_count(_LOW, R.ISSUE_WEAK)
 WHEN ({TYPE_SQL}) = 'code' THEN 'code' ELSE 'function_memory' END"""
 
 
+_ALL = f"(SELECT query FROM {_PROBES} UNION SELECT query FROM {_TURNS})"
+
+
+def _all(spark: SparkSession, d: str) -> DataFrame:
+    """The probes and every user turn, each query once."""
+    return _probes(spark).unionByName(_turns(spark, d).select("query")).distinct()
+
+
 def _probes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p,) for p in PROBES], T.StructType([T.StructField("query", T.StringType())]))
 
@@ -94,10 +105,10 @@ _ENTITY = f"CASE WHEN {_Q} = '' THEN '' " + " ".join(f"WHEN regexp_matches({_Q},
 _SURE = f"CASE WHEN {_Q} = '' THEN 0.3 " + " ".join(f"WHEN regexp_matches({_Q}, {_lit(p)}, 'i') THEN 0.8" for _, p in _CASES) + " ELSE 0.5 END::DOUBLE"
 
 
-@query("route_intent", f"SELECT query, {_INTENT} AS intent, {_ENTITY} AS entity, {_SURE} AS confidence FROM {_PROBES}")
+@query("route_intent", f"SELECT query, {_INTENT} AS intent, {_ENTITY} AS entity, {_SURE} AS confidence FROM {_ALL}")
 def route_intent(spark: SparkSession, d: str) -> DataFrame:
     i = R.intent("query")
-    return _probes(spark).select("query", i["intent"].alias("intent"), i["entity"].alias("entity"), i["confidence"].alias("confidence"))
+    return _all(spark, d).select("query", i["intent"].alias("intent"), i["entity"].alias("entity"), i["confidence"].alias("confidence"))
 
 
 @query("intent_counts", f"SELECT {_INTENT} AS intent, count(*)::BIGINT AS queries FROM {_TURNS} GROUP BY 1")
@@ -107,15 +118,19 @@ def intent_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _expansion_sql() -> str:
     lists = " || ".join(f"CASE WHEN regexp_matches(query, {_lit(p)}, 'i') THEN [{', '.join(map(_lit, t))}] ELSE []::VARCHAR[] END" for p, t in R.EXPANSION)
-    return f"SELECT query, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS expansion FROM (SELECT query, {lists} AS l FROM {_PROBES})"
+    return f"SELECT query, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS expansion FROM (SELECT query, {lists} AS l FROM {_ALL})"
 
 
 @query("query_expand", _expansion_sql())
 def query_expand(spark: SparkSession, d: str) -> DataFrame:
-    return _probes(spark).select("query", F.array_join(R.expansion_tokens("query"), " ").alias("expansion"))
+    return _all(spark, d).select("query", F.array_join(R.expansion_tokens("query"), " ").alias("expansion"))
 
 
 @query("nl_symbol_candidates")
 def nl_symbol_candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(p, k, s) for p in PROBES for k, s in enumerate(R.symbol_candidates(p, {"numpy", "json"}))]
-    return spark.createDataFrame(rows, "query string, position int, candidate string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [(q, k, s) for q in rows["query"] for k, s in enumerate(R.symbol_candidates(q or "", {"numpy", "json"}))]
+            yield pd.DataFrame(found, columns=["query", "position", "candidate"])
+
+    return _all(spark, d).mapInPandas(run, "query string, position int, candidate string")

@@ -72,6 +72,17 @@ def batch(spark: SparkSession, d: str) -> DataFrame:
     return knn_batch(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", 10, "cosine").select("query_id", "vec_id", "score", "rank")
 
 
+@query(
+    "knn_batch_l2",
+    """SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+SELECT q.vec_id AS query_id, e.vec_id, round(0 - list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 3 = 0)) WHERE rank <= 5""",
+)
+def batch_l2(spark: SparkSession, d: str) -> DataFrame:
+    """More queries than any small block holds."""
+    e = table(spark, d, "embeddings")
+    return knn_batch(e, e.filter("vec_id % 3 = 0"), "vec_id", "embedding", "vec_id", "embedding", 5, "l2").select("query_id", "vec_id", "score", "rank")
+
+
 @query(
     "knn_label_precision",
     _NEAR + """, s AS (SELECT query_id, avg((ql = el)::INT)::DOUBLE AS p, coalesce(max(CASE WHEN ql = el THEN 1.0 / rank END), 0)::DOUBLE AS rr FROM r WHERE vec_id <> query_id AND rank <= 11 GROUP BY query_id)
