@@ -458,3 +458,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "n_similar", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' '] ELSE []::VARCHAR[] END) AS sh FROM w)),
+n AS (SELECT d.doc_id, count(s.sh) AS n FROM documents d LEFT JOIN s USING (doc_id) GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 70 * (na.n + nb.n - k)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT n.doc_id, n.n AS n_shingles, (SELECT count(*) FROM l WHERE l.a = n.doc_id) AS n_similar, least(n.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = n.doc_id), n.doc_id)) AS component_id FROM n
+"""

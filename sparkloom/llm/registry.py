@@ -17,5 +17,6 @@ QUERIES = {
     "op10_exact_dedup": op10_exact.op10_exact_dedup,
 }
 SQL = {
+    "op4_jaccard_join": op04_jaccard.SQL,
     "op10_exact_dedup": op10_exact.SQL,
 }
