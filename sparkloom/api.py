@@ -121,7 +121,9 @@ class Engine:
         return rows
 
     def _apply(self, fresh: DataFrame, changes: DataFrame) -> None:
-        read, gone = self.index_store.read, changes.select("path")
+        gone = changes.select("path")
+        touched = [r[0] for r in gone.select(store.bucket(F.col("path"))).distinct().collect()]  # at most as many as there are parts
+        read = lambda name: self.index_store.read(name, touched)
         old_ids = cut(read("chunks").join(gone.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select(F.col("id").alias("chunk_id")))
         known = {n: read(n).join(old_ids, "chunk_id", "left_semi") for n in ("code_vectors", "doc_vectors", "embedding_cache")}
         new = self._derive(fresh, known)
@@ -129,7 +131,7 @@ class Engine:
         calls = read("calls").withColumn("_p", F.regexp_replace("call_site", r":\d+$", "")).join(gone.withColumnRenamed("path", "_p"), "_p", "left_anti").drop("_p")
         kept = {"files": by_file("files", "path"), "chunks": by_file("chunks", "file_path"), "symbols": by_file("symbols", "file_path"), "calls": calls}
         kept |= {n: store.delete(read(n), old_ids, "chunk_id") for n in ("search_docs", "code_vectors", "doc_vectors", "embedding_cache")}
-        self.index_store.write({n: kept[n].select(*new[n].columns).unionByName(new[n]) for n in kept})
+        self.index_store.write({n: kept[n].select(*new[n].columns).unionByName(new[n]) for n in kept}, touched)
 
     def stats(self) -> Counts:
         return self.index_store.stats()

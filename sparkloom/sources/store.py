@@ -1,13 +1,17 @@
 """Keyed tables: merge, delete, incremental work lists, caches, and the index on disk.
 
-Tables are plain Parquet, so a merge writes the rows that stay and the new ones to a new
-version and moves it in; a reader of the old version is never disturbed within a job.
+Tables are plain Parquet in parts by file, so a merge writes the parts that it touches (the
+rows that stay and the new ones) and takes over the others; a reader of the old version is
+never disturbed.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkloom.functions.text import language_of_path
 
@@ -137,8 +141,26 @@ def cache_stats(cache: DataFrame) -> DataFrame:
 TABLES = "chunks symbols calls search_docs code_vectors doc_vectors embedding_cache".split()
 
 
+#: Parts of each table, by a hash of the file that a row is of.
+BUCKETS = 16
+
+
+def bucket(path: Column) -> Column:
+    """The part that a file's rows are in; a chunk's id begins with its file's path and ``#``."""
+    return F.pmod(F.hash(F.substring_index(path, "#", 1)), F.lit(BUCKETS))
+
+
+def _bucket_of(name: str) -> Column | None:
+    paths = {"files": "path", "chunks": "file_path", "symbols": "file_path"}
+    if name == "calls":
+        return bucket(F.regexp_replace("call_site", r":\d+$", ""))
+    if name in TABLES or name == "files":
+        return bucket(F.col(paths.get(name, "chunk_id")))
+    return None
+
+
 class Index:
-    """Versioned Parquet tables below one folder; ``CURRENT`` names the version that readers see."""
+    """Versioned Parquet tables below one folder.  A version is a list of parts: those that it wrote, and those that it took over from the version before."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -147,26 +169,68 @@ class Index:
     def _p(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")  # noqa: SLF001
 
-    def version(self) -> int:
-        found = [int(s.getPath().getName()[1:]) for s in self._fs.listStatus(self._p(""))] if self._fs.exists(self._p("")) else []
-        done = [v for v in found if self._fs.exists(self._p(f"v{v}/_DONE"))]
-        return max(done, default=0)
+    def _names(self, name: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._p(name))] if self._fs.exists(self._p(name)) else []
 
-    def write(self, tables: dict[str, DataFrame]) -> int:
-        """A new version; it counts once all its tables are there.  The version before the last one goes."""
+    def version(self) -> int:
+        found = [int(n[1:]) for n in self._names("") if n[1:].isdigit()]
+        return max((v for v in found if self._fs.exists(self._p(f"v{v}/_DONE"))), default=0)
+
+    def _parts(self, version: int) -> dict[str, dict]:
+        """Of each table: its schema, and its parts' folders by number."""
+        if not version:
+            return {}
+        stream = self._fs.open(self._p(f"v{version}/_DONE"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))  # noqa: SLF001
+        finally:
+            stream.close()
+
+    def write(self, tables: dict[str, DataFrame], touched: list[int] | None = None) -> int:
+        """A new version; it counts once all its tables are there.  With ``touched``, only those parts are written, and all else is taken over."""
         v = self.version() + 1
+        old = self._parts(v - 1)
+        new = {n: t for n, t in old.items() if n not in tables} if touched is not None else {}
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v{v}/{name}")
-        self._fs.create(self._p(f"v{v}/_DONE")).close()
-        if v > 2:
-            self._fs.delete(self._p(f"v{v - 2}"), True)
+            by, place = _bucket_of(name), f"v{v}/{name}"
+            held = {}
+            if by is None:
+                df.write.mode("overwrite").parquet(f"{self.path}/{place}")
+                held["all"] = place
+            else:
+                rows = df.withColumn("_bucket", by).hint("rebalance", "_bucket")
+                rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{place}")
+                held = {n.partition("=")[2]: f"{place}/{n}" for n in self._names(place) if n.startswith("_bucket=")}
+                if touched is not None:
+                    held |= {b: part for b, part in old.get(name, {"parts": {}})["parts"].items() if int(b) not in touched}
+            new[name] = {"schema": df.schema.json(), "parts": held}
+        out = self._fs.create(self._p(f"v{v}/_DONE"))
+        out.write(bytearray(json.dumps(new).encode()))
+        out.close()
+        self._sweep(v, {p for t in (*new.values(), *old.values()) for p in t["parts"].values()})
         return v
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version()}/{name}")
+    def _sweep(self, v: int, used: set[str]) -> None:
+        """What neither this version nor the one before names goes."""
+        for n in (n for n in self._names("") if n[1:].isdigit() and int(n[1:]) < v - 1):
+            for t in self._names(n):
+                parts = [f"{n}/{t}/{b}" for b in self._names(f"{n}/{t}") if b.startswith("_bucket=")] or [f"{n}/{t}"]
+                for part in parts:
+                    if part not in used:
+                        self._fs.delete(self._p(part), True)
+            if not any(u.startswith(n + "/") for u in used):
+                self._fs.delete(self._p(n), True)
+
+    def read(self, name: str, touched: list[int] | None = None) -> DataFrame:
+        """A table, or those of its parts."""
+        found = self._parts(self.version())[name]
+        schema = StructType.fromJson(json.loads(found["schema"]))
+        paths = [f"{self.path}/{p}" for b, p in sorted(found["parts"].items()) if touched is None or int(b) in touched]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def stats(self) -> dict[str, int]:
-        return {n: self.read(n).count() for n in TABLES if self.version() and self._fs.exists(self._p(f"v{self.version()}/{n}"))}
+        have = self._parts(self.version())
+        return {n: self.read(n).count() for n in TABLES if n in have}
 
     def snapshot_id(self) -> str:
         import hashlib

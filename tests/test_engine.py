@@ -214,3 +214,20 @@ def test_providers():
     assert asked[-1] == ["bb"]
     c.set_provider(None)
     assert c.embed(["a"]) == [None] and not c.available and c.dimension == 0
+
+
+def test_a_refresh_writes_only_the_parts_of_its_files(engine, workspace):
+    store = engine.index_store
+    before, v = store._parts(store.version()), store.version()
+    (workspace / "app" / "server.py").write_text("def only_one(x):\n    return x\n")
+    engine.refresh()
+    after = store._parts(store.version())
+    new = {n: {b for b, p in t["parts"].items() if p.startswith(f"v{v + 1}/")} for n, t in after.items()}
+    assert store.version() == v + 1 and all(len(bs) <= 1 for bs in new.values()) and new["chunks"]
+    kept = {b for b in before["chunks"]["parts"] if b not in new["chunks"]}
+    assert kept and all(after["chunks"]["parts"][b] == before["chunks"]["parts"][b] for b in kept)
+    for k in range(3):
+        (workspace / "app" / "server.py").write_text(f"def only_{k}(x):\n    return x\n")
+        engine.refresh()
+    assert {r["symbol_name"] for r in store.read("chunks").filter("file_path = 'app/server.py'").collect()} >= {"only_2"}
+    assert store.read("chunks").filter("symbol_name = 'only_1'").count() == 0 and engine.stats()["chunks"] == store.read("code_vectors").count()
