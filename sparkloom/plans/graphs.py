@@ -46,26 +46,26 @@ def callers_k(spark: SparkSession, d: str) -> DataFrame:
     return G.k_hop(G.reverse(links(spark, d)), _start(spark), 2)
 
 
-_IMPACT_SQL = f"""WITH RECURSIVE {_LINKS_SQL},
+IMPACT_SQL = f"""WITH RECURSIVE {_LINKS_SQL},
 down(node, depth) AS (SELECT '{START}', 0 UNION SELECT l.dst, depth + 1 FROM down JOIN links l ON l.src = down.node WHERE depth < 40),
 up(node, depth) AS (SELECT '{START}', 0 UNION SELECT l.src, depth + 1 FROM up JOIN links l ON l.dst = up.node WHERE depth < 40),
 both_ AS (SELECT node, 'upstream' AS direction, min(depth)::BIGINT AS depth FROM up GROUP BY node UNION ALL SELECT node, 'downstream', min(depth)::BIGINT FROM down GROUP BY node)
 """
 
 
-@query("impact_closure", _IMPACT_SQL + "SELECT * FROM both_ WHERE depth > 0")
+@query("impact_closure", IMPACT_SQL + "SELECT * FROM both_ WHERE depth > 0")
 def impact_closure(spark: SparkSession, d: str) -> DataFrame:
     return G.impact(links(spark, d), START)
 
 
-@query("impact_summary", _IMPACT_SQL + "SELECT direction, count(*)::BIGINT AS symbols, max(depth)::BIGINT AS deepest FROM both_ WHERE depth > 0 GROUP BY direction")
+@query("impact_summary", IMPACT_SQL + "SELECT direction, count(*)::BIGINT AS symbols, max(depth)::BIGINT AS deepest FROM both_ WHERE depth > 0 GROUP BY direction")
 def impact_summary(spark: SparkSession, d: str) -> DataFrame:
     return G.impact(links(spark, d), START).groupBy("direction").agg(F.countDistinct("node").alias("symbols"), F.max("depth").alias("deepest"))
 
 
 @query(
     "impact_files",
-    _IMPACT_SQL + """, f AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS node FROM pages)
+    IMPACT_SQL + """, f AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS node FROM pages)
 SELECT url, count(DISTINCT node)::BIGINT AS affected FROM f JOIN both_ USING (node) WHERE direction = 'upstream' AND depth = 1 GROUP BY url""",
 )
 def impact_files(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +128,16 @@ def dep_layers(spark: SparkSession, d: str) -> DataFrame:
     return G.layers(links(spark, d))
 
 
-@query("layer_types")
+_WORDED = " ".join(f"WHEN bool_or(regexp_matches(lower(node), '{'|'.join(w.split())}')) THEN '{t}'" for t, w in G.LAYER_WORDS.items())
+
+
+@query(
+    "layer_types",
+    _LAYER_SQL + f""", sz AS (SELECT layer, count(*)::BIGINT AS m, row_number() OVER (ORDER BY layer) AS i FROM layers GROUP BY layer),
+g(i, grp, n) AS (SELECT i, 0::BIGINT, m FROM sz WHERE i = 1 UNION ALL SELECT s.i, CASE WHEN g.n >= 3 THEN g.grp + 1 ELSE g.grp END, CASE WHEN g.n >= 3 THEN s.m ELSE g.n + s.m END FROM g JOIN sz s ON s.i = g.i + 1),
+merged AS (SELECT node, CASE WHEN (SELECT count(*) FROM sz) <= 2 THEN sz.i - 1 ELSE g.grp END AS layer FROM layers JOIN sz USING (layer) JOIN g USING (i))
+SELECT layer, CASE {_WORDED} WHEN layer = 0 THEN 'foundation' ELSE 'unknown' END AS layer_type, count(*)::BIGINT AS n_nodes FROM merged GROUP BY layer""",
+)
 def layer_types(spark: SparkSession, d: str) -> DataFrame:
     return G.layer_types(G.merge_small_layers(cut(G.layers(links(spark, d)))))
 

@@ -16,7 +16,7 @@ from sparkloom.streaming.watch import windowed_counts
 
 from .base import query
 from .features import _list
-from .graphs import START, links
+from .graphs import IMPACT_SQL, START, links
 from .lexical import bm25_sql
 
 
@@ -324,7 +324,10 @@ def budget_fit(spark: SparkSession, d: str) -> DataFrame:
     return C.fit(rows, "n_chars", 5000, ["n_chars", "doc_id"]).select("doc_id", "left_before")
 
 
-@query("impact_context")
+_SECTION = "(SELECT '{1} (' || count(*) || '):' || chr(10) || string_agg('- ' || node, chr(10) ORDER BY depth, node) FROM (SELECT * FROM both_ WHERE depth > 0 AND direction = '{0}' ORDER BY depth, node LIMIT 10) HAVING count(*) > 0)"
+
+
+@query("impact_context", IMPACT_SQL + f"SELECT '{START}' AS symbol, concat_ws(chr(10) || chr(10), '# Impact of {START}', {_SECTION.format('upstream', 'Upstream')}, {_SECTION.format('downstream', 'Downstream')}) AS context")
 def impact_context(spark: SparkSession, d: str) -> DataFrame:
     return C.impact_context(links(spark, d), START)
 

