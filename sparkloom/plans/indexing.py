@@ -282,6 +282,28 @@ def embedding_status(spark: SparkSession, d: str) -> DataFrame:
     return store.embedding_status(now, docs(now), cache, vectors("src3"), vectors("src6"))
 
 
+_LISTED = r"import\s*\([^)]*\)"
+_IMPORT = r"(?:import|from|use|extern crate|mod|require|#include|package|export\b[^\n]*\bfrom|(?:const|let|var)\b[^\n=]*=\s*require)\b[^\n]*"
+
+
+@query("import_lines", rf"SELECT doc_id, regexp_replace(array_to_string(regexp_extract_all(coalesce(text, ''), '(?m)^[ \t]*({_LISTED}|{_IMPORT})', 1)[1:12], ' '), '\s+', ' ', 'g') AS imports FROM documents")
+def import_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", D.import_lines("text").alias("imports"))
+
+
+def _words_sql(c: str) -> str:
+    short = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.STANDS_FOR.items())
+    keys = ", ".join(f"'{k}'" for k in D.STANDS_FOR)
+    return rf"""array_to_string(list_filter([array_to_string(regexp_extract_all(lower(regexp_replace({c}, '([0-9a-z])([A-Z])', '\1 \2', 'g')), '[a-z]+|[0-9]+'), ' '),
+array_to_string(list_transform(list_filter([{keys}], lambda k: regexp_matches(lower({c}), '(^|[^a-z])' || k)), lambda k: CASE k {short} END), ' ')], lambda x: x <> ''), ' ')"""
+
+
+@query("identifier_words", f"SELECT p_partkey, {_words_sql('n')} AS words FROM (SELECT p_partkey, p_brand || p_type || 'ReqCtx_fp16' || p_size AS n FROM part)")
+def identifier_words(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat("p_brand", "p_type", F.lit("ReqCtx_fp16"), "p_size")
+    return table(spark, d, "part").select("p_partkey", D.identifier_words(name).alias("words"))
+
+
 _RETURNS = r"""yields values one by one=\byield\b
 returns true or false=\breturn\s+(true|false)\b
 returns nothing=\breturn\s+(none|null|nil)\b
