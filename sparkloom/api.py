@@ -207,7 +207,7 @@ class Engine:
         if qtype == "nl" and vec.isEmpty():  # no search document was embedded: the code's vectors answer
             vec = self.index_store.read("code_vectors").withColumnRenamed("chunk_id", "id").filter("embedding IS NOT NULL")
         pool = vec.join(chunks.filter(keep_any).select("id"), "id", "left_semi") if c.prefilter else vec
-        asked = self._embed_query(text)
+        asked = self._vector_of(text)
         near = knn_one(pool, asked, "id", "embedding", 3 * k).select("id", "score") if asked else pool.select("id", F.lit(0.0).alias("score")).limit(0)
         graph = cut(self._graph(query, 2 * k))
         allowed = chunks.filter(keep_any).select("id")
@@ -231,10 +231,10 @@ class Engine:
         out = ranked.select("id", "symbol_name", "qualified_name", "file_path", F.col("start_line").alias("line_number"), "chunk_type", F.col("rerank_score").alias("score"), F.substring("content", 1, 500).alias("snippet"), "signature", "docstring", "tags", "channel_ranks", "language", *((*RR.FEATURES, "stage") if explain else ()))
         return out.orderBy(*R.stable_order("score", "file_path", "line_number", "symbol_name", "id"))
 
-    def _embed_query(self, text: str) -> list[float]:
+    def _vector_of(self, query: str) -> list[float]:
         """The query's vector; empty where the provider fails, so that the other channels answer."""
         try:
-            return self.provider.embed([text])[0].tolist()
+            return self.provider.embed([query])[0].tolist()
         except Exception:  # noqa: BLE001 - a provider may fail in any way
             return []
 
@@ -364,7 +364,7 @@ class Engine:
         scope = G.scope_nodes(found, own["node"], purpose) if own else None
         rows = C.structured_context(symbol, self.index_store.read("symbols"), self.edges(), self.flows(), self.communities(), budget, scope).collect()
         parts = [r["text"] for r in rows if r["text"]]
-        text = "\n\n---\n\n".join(parts) if parts else f"No such symbol: {symbol}"
+        text = "\n\n* * *\n\n".join(parts) if parts else f"No such symbol: {symbol}"
         if self.cache:
             self.cache.set_kind("query", key, text)
         return text
