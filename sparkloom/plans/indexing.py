@@ -11,7 +11,7 @@ from sparkloom.operators import context as C
 from sparkloom.operators import dataflow as FL
 from sparkloom.sources import lookup, parse, sample, store
 from sparkloom.sources.embedding import HashingProvider, embed
-from sparkloom.sources.tables import spread, table
+from sparkloom.sources.tables import cut, spread, table
 from sparkloom.streaming.watch import windowed_counts
 
 from .base import query
@@ -57,7 +57,7 @@ def comment_extract(spark: SparkSession, d: str) -> DataFrame:
 @query("embed_chunks")
 def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
     c, s, _ = parsed(spark)
-    return embed(D.search_documents(c, s).withColumn("t", D.embedding_text("search_text")), "chunk_id", "t", HashingProvider(64))
+    return embed(cut(D.search_documents(c, s)).withColumn("t", D.embedding_text("search_text")), "chunk_id", "t", HashingProvider(64))
 
 
 #: Documents as Python files, and each one's longest word as a function with one parameter of that name.
