@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import Scratch
+from .work import Scratch, tidy
 
 #: Edge lists up to this many rows (16 bytes each) are solved in one task; longer ones by the distributed star algorithm.  Both give the same labels.
 ONE_TASK = 2_000_000
@@ -58,7 +58,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str, one_task: int = ON
     """(node, root) for every node that has an edge; root is the smallest node of its component."""
     edges = scratch.keep(edges.toDF("a", "b").filter("a <> b").distinct(), f"{name}-edges")
     if edges.count() <= one_task:
-        return edges.repartition(1).mapInArrow(_one_task, "node long, root long")
+        return edges.repartition(1).mapInArrow(tidy(_one_task), "node long, root long")
     print_of = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007)]
     before, turn = None, 0
     while True:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textbytes import count_words, pieces
-from .work import Scratch, table
+from .work import Scratch, table, tidy
 
 CAPACITY, PER_SOURCE, GROUP_ITEMS = 2048, 2, 8192
 
@@ -132,7 +132,7 @@ def pack(spark: SparkSession, docs: DataFrame, cluster: Column | None = None, ca
     tmp = Scratch(spark, "packing")
     own = F.when(F.coalesce("text", F.lit("")) != "", F.xxhash64("text")) if cluster is None else cluster.cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), own.alias("cluster"), "text")
-    sized = rows.mapInArrow(_sizes, "doc_id long, source string, cluster long, size long")
+    sized = rows.mapInArrow(tidy(_sizes), "doc_id long, source string, cluster long, size long")
     counted = tmp.keep(sized.groupBy("doc_id", "source", "cluster", "size").agg(F.count(F.lit(1)).alias("copies")), "items")
     total = counted.agg(F.sum(F.col("copies") * F.ceil(F.col("size") / capacity))).first()[0] or 0
     groups = max(1, -(-int(total) // group_items))
@@ -140,7 +140,7 @@ def pack(spark: SparkSession, docs: DataFrame, cluster: Column | None = None, ca
     rest = items.filter("size > 0").withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", "source", "size", "copy"), F.lit(groups)).cast("int"))
     rest = rest.select("group", "doc_id", "copy", (F.col("size") / capacity).cast("long").alias("whole"), (F.col("size") % capacity).alias("size"), "source", "cluster")
     rest = rest.repartition("group").sortWithinPartitions("group", F.desc("size"), "doc_id", "source", "cluster", "copy", "whole")
-    packed = rest.mapInArrow(_pack(capacity, per_source), "doc_id long, copy long, piece long, size long, source string, cluster long, bin_id long")
+    packed = rest.mapInArrow(tidy(_pack(capacity, per_source)), "doc_id long, copy long, piece long, size long, source string, cluster long, bin_id long")
     none = items.filter("size = 0").select("doc_id", "copy", F.lit(0).cast("long").alias("piece"), "size", "source", "cluster", F.lit(None).cast("long").alias("bin_id"))
     return packed.unionByName(none)
 

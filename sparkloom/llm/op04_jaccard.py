@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .components import components, labels
 from .textbytes import U, mix, pieces, shingle_sets
-from .work import Scratch, numbered, table
+from .work import Scratch, numbered, table, tidy
 
 PERCENT = 70
 CHUNK_TOKENS = 1 << 21
@@ -114,30 +114,39 @@ def _scan(plan: _Plan):
             with pa.ipc.new_stream(sink, docs.schema) as w:
                 w.write_batch(docs)
             n_rows = len(rows[0])
+            # sorted in place, and each array replaced as soon as it is done with: a chunk is held about three times at most
             key = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            idx = np.repeat(np.array(list(first.values()), np.uint64), [len(t) for t in tokens]) if tokens else key
+            idx = np.repeat(np.array(list(first.values()), np.uint16), [len(t) for t in tokens]) if tokens else np.zeros(0, np.uint16)
             tokens, rows, first, held = [], [[], [], [], []], {}, 0
-            small = plan.bits <= 48
             key >>= U(64 - plan.bits)
-            if small:
-                both = np.sort((key << U(16)) | idx)
-                key, idx = both >> U(16), both & U(0xFFFF)
+            if plan.bits <= 48:
+                key <<= U(16)
+                key |= idx
+                key.sort()
+                idx = key.astype(np.uint16)
+                key >>= U(16)
             else:
                 order = np.argsort(key, kind="stable")
                 key, idx = key[order], idx[order]
+                del order
             # tokens of many sets of the chunk: their sets stay with it, and only their number goes to the token range
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            count = np.diff(np.append(start, len(key)))
-            hot = count >= HOT
-            of_hot = np.repeat(hot, count)
-            hot_key, hot_count = key[start[hot]], count[hot]
-            side = pack(hot_key, 8) + pack(hot_count.astype(np.uint64), 3) + pack(idx[of_hot], 2)
+            last = key[HOT - 1 :]
+            hot_key = np.unique(last[last == key[: len(last)]])
+            del last
+            lo, hi = np.searchsorted(key, hot_key), np.searchsorted(key, hot_key, "right")
+            edge = np.zeros(len(key) + 1, np.int8)
+            edge[lo] += 1
+            edge[hi] -= 1
+            of_hot = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+            hot_count = (hi - lo).astype(np.uint64)
+            side = pack(hot_key, 8) + pack(hot_count, 3) + pack(idx[of_hot], 2)
+            if len(hot_key):
+                key, idx = key[~of_hot], idx[~of_hot]
             out = [[chunk], [-1], [n_rows], [struct.pack("<Q", len(hot_key)) + press.compress(side)], [press.compress(sink.getvalue().to_pybytes())]]
-            for mine, value, width, mark in ((key[~of_hot], idx[~of_hot], 2, None), (hot_key, hot_count.astype(np.uint64), 3, b"hot")):
+            for mine, value, width, mark in ((key, idx, 2, None), (hot_key, hot_count, 3, b"hot")):
                 cut = np.searchsorted(mine, np.arange((1 << plan.bucket_bits) + 1, dtype=np.uint64) << U(plan.low_bits))
-                low = mine & U((1 << plan.low_bits) - 1)
                 for b in np.flatnonzero(np.diff(cut)).tolist():
-                    t, d = low[cut[b] : cut[b + 1]], value[cut[b] : cut[b + 1]]
+                    t, d = mine[cut[b] : cut[b + 1]] & U((1 << plan.low_bits) - 1), value[cut[b] : cut[b + 1]]
                     gap = np.diff(t, prepend=U(0))
                     for column, v in zip(out, (chunk, b, len(t), press.compress(pack(gap, plan.width) + pack(d, width)), mark)):
                         column.append(v)
@@ -230,7 +239,7 @@ def _prefixes(plan: _Plan, percent: int):
             n_hot = struct.unpack_from("<Q", side)[0]
             raw = memoryview(unpress.decompress(side[8:]))
             hot_key, hot_count = unpack(raw[: 8 * n_hot], n_hot, 8), unpack(raw[8 * n_hot : 11 * n_hot], n_hot, 3).astype(np.int64)
-            hot_df = np.zeros(n_hot, np.int64)
+            hot_df = np.zeros(n_hot, np.int32)
             for bucket, m, data, hot in blobs:
                 raw_, w = memoryview(unpress.decompress(data)), plan.width
                 k = np.cumsum(unpack(raw_[: m * w], m, w)) | (U(bucket) << U(plan.low_bits))
@@ -238,18 +247,20 @@ def _prefixes(plan: _Plan, percent: int):
                     hot_df[np.searchsorted(hot_key, k)] = unpack(raw_[m * w :], m, 3)
                 else:
                     key.append(k)
-                    idx.append(unpack(raw_[m * w : m * (w + 2)], m, 2).astype(np.int64))
-                    df.append(unpack(raw_[m * (w + 2) :], m, 3).astype(np.int64))
+                    idx.append(unpack(raw_[m * w : m * (w + 2)], m, 2).astype(np.uint16))
+                    df.append(unpack(raw_[m * (w + 2) :], m, 3).astype(np.int32))
             key.append(np.repeat(hot_key, hot_count))
-            idx.append(unpack(raw[11 * n_hot :], int(hot_count.sum()), 2).astype(np.int64))
+            idx.append(unpack(raw[11 * n_hot :], int(hot_count.sum()), 2).astype(np.uint16))
             df.append(np.repeat(hot_df, hot_count))
             k, i, f = np.concatenate(key), np.concatenate(idx), np.concatenate(df)
+            del key, idx, df
             take = np.bincount(i, minlength=n) - least_shared(size, percent) + SUBSET
             able = take >= SUBSET
             on = able[i]
             k, i, f = k[on], i[on], f[on]
             order = np.lexsort((k, f, i))
             k, i, f = k[order], i[order], f[order]
+            del order
             at = np.searchsorted(i, np.arange(n + 1))
             for d in np.flatnonzero(able & (np.diff(at) > 0)).tolist():
                 a, b = at[d], min(at[d + 1], at[d] + take[d])
@@ -400,16 +411,16 @@ def _groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, block_
     """docs: doc_id, uid, text."""
     tmp = Scratch(spark, "jaccard")
     plan = _Plan(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))  # noqa: SLF001
-    sent = docs.select("doc_id", "uid", "text").mapInArrow(_scan(plan), EXCHANGE)
-    back = sent.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.col("chunk"))).sortWithinPartitions("bucket", "chunk").mapInArrow(_shared(plan), EXCHANGE)
-    rows = tmp.keep(back.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_prefixes(plan, percent), DOCS), "docs")
+    sent = docs.select("doc_id", "uid", "text").mapInArrow(tidy(_scan(plan)), EXCHANGE)
+    back = sent.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.col("chunk"))).sortWithinPartitions("bucket", "chunk").mapInArrow(tidy(_shared(plan)), EXCHANGE)
+    rows = tmp.keep(back.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(tidy(_prefixes(plan, percent)), DOCS), "docs")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
     classes = tmp.keep(
         rows.filter("n > 0").groupBy("cls").agg(F.min("uid").alias("cid"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"), first.alias("low"), F.max("prefix").alias("prefix"), F.max("scan").alias("scan")).withColumn("band", F.floor(F.log("n") / math.log(100 / percent)).cast("int")), "classes"
     )
     most = boundary(classes) if light_most is None else light_most
-    lists = tmp.keep(classes.filter("prefix IS NOT NULL").select("cid", "band", "prefix").mapInArrow(_keys(most), "key long, alone boolean, heavy boolean, band int, cid long"), "lists")
+    lists = tmp.keep(classes.filter("prefix IS NOT NULL").select("cid", "band", "prefix").mapInArrow(tidy(_keys(most)), "key long, alone boolean, heavy boolean, band int, cid long"), "lists")
     bands = lists.groupBy("key", "alone", "band").agg(F.min("cid").alias("leader"), F.max("cid").alias("other"), F.max("heavy").alias("heavy"))
     whole = bands.groupBy("key", "alone").agg(F.max("heavy").alias("any_heavy"), F.min("leader").alias("low"), F.max("other").alias("high")).filter("low <> high AND (any_heavy OR NOT alone)")
     bands = tmp.keep(bands.join(whole.select("key", "alone"), ["key", "alone"]).select("key", "alone", "band", "leader"), "bands")
@@ -436,8 +447,8 @@ def _groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, block_
     source = docs.select("uid", "text")
     if wanted is None:
         source = source.join(ties.select(F.col("node").alias("uid")), "uid", "left_semi")
-    sets = source.mapInArrow(_sets(wanted), "cid long, tokens binary")
-    checked = tmp.keep(tasks.join(sets, "cid").select("group", "cid", "size", "side", "tokens").repartition("group").sortWithinPartitions("group").mapInArrow(_verify(percent), "cid long, links long, root long"), "links")
+    sets = source.mapInArrow(tidy(_sets(wanted)), "cid long, tokens binary")
+    checked = tmp.keep(tasks.join(sets, "cid").select("group", "cid", "size", "side", "tokens").repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_verify(percent)), "cid long, links long, root long"), "links")
 
     links = checked.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(tmp, checked.select("cid", "root"), "links-of")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .textbytes import SPACE, count_words, pieces, spans
-from .work import Scratch, numbered, table
+from .work import Scratch, local_table, numbered, table, tidy
 
 BLOCK, SHARD_SLOTS, MOST_PASSES, SEED = 256, 4096, 3, 20240229
 #: Shards that one task draws in a row.
@@ -193,18 +193,18 @@ class Mix:
         tmp = Scratch(spark, name)
         docs = docs if "_sl_uid" in docs.columns else numbered(docs.select("doc_id", "source", "text"))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_sl_uid").alias("uid"), F.col("source").cast("string").alias("source"), "text")
-        sized = tmp.keep(rows.select("doc_id", "uid", "source", "text").mapInArrow(_sizes, "doc_id long, uid long, source string, size long"), "sizes")
+        sized = tmp.keep(rows.select("doc_id", "uid", "source", "text").mapInArrow(tidy(_sizes), "doc_id long, uid long, source string, size long"), "sizes")
         found = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()  # a row for each source
         found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
         names, sizes = [r["source"] for r in found], [int(r["n"]) for r in found]
         weight = weights(names) if weights else [1 + i % 3 for i in range(len(names))]
         want = targets(sizes, weight, most_passes)
         self.plan = plan = Plan(sizes, want, block, shard_slots, seed)
-        self.sources = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(names, sizes, want))], "sidx int, name string, source_size long, target double")
+        self.sources = local_table(spark, [(i, *x) for i, x in enumerate(zip(names, sizes, want))], "sidx int, name string, source_size long, target double")
         named = sized.join(self.sources.select("sidx", "name"), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "uid", "sidx", "size")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = named.repartitionByRange(parts, "sidx", "doc_id", "uid").sortWithinPartitions("sidx", "doc_id", "uid")
-        run = tmp.keep(ordered.mapInArrow(_running, "doc_id long, uid long, sidx int, size long, part int, start long"), "runs")
+        run = tmp.keep(ordered.mapInArrow(tidy(_running), "doc_id long, uid long, sidx int, size long, part int, start long"), "runs")
         ends = run.groupBy("sidx", "part").agg(F.sum("size").alias("n"))  # at most partitions plus sources
         base = ends.withColumn("base", F.sum("n").over(Window.partitionBy("sidx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("sidx", "part", F.coalesce("base", F.lit(0)).alias("base"))
         self.docs = run.join(base, ["sidx", "part"]).select("doc_id", "uid", "sidx", "size", (F.col("start") + F.col("base")).alias("start"))
@@ -216,7 +216,7 @@ class Mix:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), strip)), pa.array(source.astype(np.int32)), pa.array(n)], ["strip", "sidx", "n"])
 
         strips = spark.range(0, plan.strips, 1, max(1, min(plan.strips, parts)))
-        drawn = tmp.keep(strips.mapInArrow(count, "strip long, sidx int, n long"), "drawn")
+        drawn = tmp.keep(strips.mapInArrow(tidy(count), "strip long, sidx int, n long"), "drawn")
         total = np.zeros(len(names), np.int64)
         for r in drawn.groupBy("sidx").agg(F.sum("n").alias("n")).collect():  # a row for each source
             total[r["sidx"]] = r["n"]
@@ -232,7 +232,7 @@ class Mix:
                         slot, source, turn, at, words = plan.rows(number, before)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), number)), pa.array(slot), *(pa.array(c.astype(np.int32)) for c in (source, turn)), pa.array(at), pa.array(words)], ["shard", "slot", "sidx", "turn", "block", "words"])
 
-        self.slots = bases.mapInArrow(draw, "shard long, slot long, sidx int, turn int, block long, words long")
+        self.slots = bases.mapInArrow(tidy(draw), "shard long, slot long, sidx int, turn int, block long, words long")
         span = self.docs.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
         low = F.greatest(F.col("start"), F.col("block") * block)
         high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
@@ -280,7 +280,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
             new[at] = pa.array(out, pa.binary()).cast(text.type)
             yield pa.RecordBatch.from_arrays(new, columns)
 
-    mixed = joined.select(*columns, "_sl_parts").mapInArrow(cut, schema)
+    mixed = joined.select(*columns, "_sl_parts").mapInArrow(tidy(cut), schema)
     return mixed.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else mixed
 
 

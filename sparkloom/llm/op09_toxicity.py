@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textbytes import U, hash_spans, pieces, spans, sums
-from .work import Scratch, table
+from .work import Scratch, table, tidy
 
 #: Labelled rows that a model is fitted on, at most; grams that it uses, at most.
 MAX_LABELLED, MAX_GRAMS = 12_000, 600
@@ -101,7 +101,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Costs (negative log probabilities) of each letter after each other; 0 is a word's edge.  Counted over all documents."""
     counts = np.ones((LETTERS, LETTERS)) * 0.1
-    for r in docs.select(text).mapInArrow(_pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most LETTERS squared
+    for r in docs.select(text).mapInArrow(tidy(_pair_counts), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most LETTERS squared
         counts[r["pair"] // LETTERS, r["pair"] % LETTERS] += r["n"]
     counts[0, 0] = 0.1
     return (-np.log(counts / counts.sum(1, keepdims=True))).astype(np.float32)
@@ -447,7 +447,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
     none = Model(letters, np.zeros(0, np.uint64), np.zeros(0), min(base, -1e-6) if p <= n else base)
     if not p or not n:
         return none
-    counts = rows.mapInArrow(grams, "g long, pos long, neg long").groupBy("g").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.mapInArrow(tidy(grams), "g long, pos long, neg long").groupBy("g").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rate = p / (p + n)
     gain = F.col("pos") * F.log(F.col("pos") / ((F.col("pos") + F.col("neg")) * rate)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / ((F.col("pos") + F.col("neg")) * (1 - rate)))).otherwise(0)
     top = counts.filter("pos >= 3").filter(F.col("pos") > (F.col("pos") + F.col("neg")) * rate).orderBy(gain.desc(), "g").limit(max_grams).collect()
@@ -464,7 +464,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
                 x[row, gram] = dense
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(a, b - a)], ["x", "y"])
 
-    got = rows.mapInArrow(density, "x binary, y int").orderBy("y", "x").toArrow()  # at most max_labelled rows of 2 bytes a gram
+    got = rows.mapInArrow(tidy(density), "x binary, y int").orderBy("y", "x").toArrow()  # at most max_labelled rows of 2 bytes a gram
     x = np.frombuffer(b"".join(got.column(0).to_pylist()), np.float16).reshape(got.num_rows, len(top))
     weights, bias = fit_logistic(x.astype(np.float32), (got.column(1).to_numpy() == 1).astype(float))
     return Model(letters, chosen.grams, weights, bias)
@@ -482,7 +482,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "toxi
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(at)))], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, docs.select("*").withColumn(column, F.lit(0.0)).schema)
+    return docs.mapInArrow(tidy(run), docs.select("*").withColumn(column, F.lit(0.0)).schema)
 
 
 def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
@@ -494,7 +494,7 @@ def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: fl
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def restored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -515,7 +515,7 @@ def restored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["doc_id", "start", "written", "restored"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, "doc_id long, start long, written string, restored string")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(tidy(run), "doc_id long, start long, written string, restored string")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -526,5 +526,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)))], ["doc_id", "score"])
 
-    out = docs.mapInArrow(run, "doc_id long, score double")
+    out = docs.mapInArrow(tidy(run), "doc_id long, score double")
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import Scratch, numbered, table
+from .work import Scratch, local_table, numbered, table, tidy
 
 HEAVY_SLOTS = 2048
 
@@ -47,7 +47,7 @@ def misra_gries(df: DataFrame, column: str, slots: int) -> list[tuple[bytes, int
             held = merge_counts(held, dict(zip(seen.field(0).to_pylist(), seen.field(1).to_pylist())), slots)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["value", "n"])
 
-    top = df.select(column).mapInArrow(count, "value binary, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(slots + 1).collect()
+    top = df.select(column).mapInArrow(tidy(count), "value binary, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(slots + 1).collect()
     cut = top[slots]["n"] if len(top) > slots else 0
     return [(bytes(r["value"]), r["n"]) for r in top if r["n"] > cut]
 
@@ -57,8 +57,8 @@ def _settle(spark: SparkSession, rows: DataFrame, slots: int) -> DataFrame:
     best = [F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", (-F.col("uid")).alias("back"))).alias("best")]
     heavy = [(v,) for v, n in misra_gries(rows, "digest", slots) if n > 1]
     shape = "digest binary"
-    found = rows.join(F.broadcast(spark.createDataFrame(heavy, shape)), "digest").groupBy("digest").agg(*best).collect() if heavy else []
-    won = F.broadcast(spark.createDataFrame([(r["digest"], r["group_size"], r["best"]) for r in found], "digest binary, group_size long, best struct<doc_id: long, back: long>"))
+    found = rows.join(F.broadcast(local_table(spark, heavy, shape)), "digest").groupBy("digest").agg(*best).collect() if heavy else []
+    won = F.broadcast(local_table(spark, [(r["digest"], r["group_size"], r["best"].asDict()) for r in found], "digest binary, group_size long, best struct<doc_id: long, back: long>"))
     rest = rows.join(won.select("digest"), "digest", "left_anti")
     groups = rest.groupBy("digest").agg(*best)
     both = rows.join(won, "digest").select("doc_id", "uid", "digest", "group_size", "best").unionByName(rest.join(groups, "digest").select("doc_id", "uid", "digest", "group_size", "best"))

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _local: list[str] = []
 
@@ -38,6 +44,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's rows (structs as dicts), sent as Arrow data: plain rows run a Python job of another kind, whose daemon and workers then stay in every executor."""
+    shape = T.StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(shape.names, r)) for r in rows], to_arrow_schema(shape)), shape)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with free memory given back before and after: a worker lives on, and would keep what its largest task took."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 class Scratch:
     """Tables written under the shared folder to cut lineage; they go when ``drop`` is called, or at the end of the process."""
 

@@ -106,3 +106,26 @@ def test_intersections_of_large_sets():
     sets = [np.arange(a, a + 70_000, dtype=np.uint64) for a in (0, 1, 30_000)]
     got = J.intersections(sets)
     assert [int(got[i, j]) for i, j in ((0, 1), (0, 2), (1, 2), (2, 1))] == [69_999, 40_000, 40_001, 40_001]
+
+
+def test_scan_holds_a_chunk_a_few_times(monkeypatch):
+    """Memory of the step that sorts a chunk, in bytes a shingle (8 as such)."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    n = 300_000
+    texts = [" ".join(f"{k}" for k in range(a, a + 1000)) for a in range(0, n, 1000)] + ["a b c d"] * 3 + [f"a b c d {k}" for k in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "uid", "text"])
+    monkeypatch.setattr("sparkloom.llm.textbytes.PIECE", 1 << 16)
+    pieces = J.pieces
+    monkeypatch.setattr(J, "pieces", lambda column: pieces(column, 1 << 16))
+    plan = J._Plan(1 << 30)
+    list(J._scan(plan)(iter([batch.slice(0, 5)])))
+    tracemalloc.start()
+    rows = [r for b in J._scan(plan)(iter([batch])) for r in (b.num_rows,)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(rows) > 1 and peak < 40 * n
