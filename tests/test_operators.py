@@ -1,6 +1,9 @@
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,6 +122,26 @@ def test_knn(spark):
     assert [r["id"] for r in knn.knn_one(v.filter("id < 99"), [3.2, 1.0], "id", "v", 2).collect()] == [3, 4]
 
 
+def test_knn_many_queries(spark, monkeypatch):
+    """What a task holds doesn't follow queries * rows; blocks of queries give what one gives."""
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(3000, 4)).round(1), rng.normal(size=(12_000, 4)).round(1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(list(x))], ["id", "v"])
+    for metric in knn.METRICS:
+        tracemalloc.start()
+        got = pa.Table.from_batches(knn._best(np.arange(12_000), q, 5, metric, "id", "v")(iter([batch]))).to_pandas()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80e6  # the scores alone are 288 MB
+        for n in (0, 77, 11_999):
+            own = {"l2": -np.sqrt(((x - q[n]) ** 2).sum(1)), "dot": x @ q[n], "cosine": x @ q[n] / np.sqrt((x**2).sum(1) * (q[n] ** 2).sum())}[metric].round(6)
+            assert list(got.id[got.query_id == n]) == list(np.lexsort((np.arange(3000), -own))[:5])
+    v = spark.createDataFrame([(k, [float(a) for a in x[k]]) for k in range(300)], "id long, v array<double>")
+    one = knn.knn_batch(v, v, "id", "v", "id", "v", 3).collect()
+    monkeypatch.setattr(knn, "QUERY_BYTES", 4000)
+    assert sorted(knn.knn_batch(v, v, "id", "v", "id", "v", 3).collect()) == sorted(one)
+
+
 def test_parser():
     chunks, symbols, calls = parse.parse_text("app/reader.py", sample.FILES["app/reader.py"])
     by = {c["symbol_name"]: c for c in chunks}
