@@ -2,6 +2,7 @@ import math
 import random
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sparkloom import registry
 from sparkloom.functions import text as X
 from sparkloom.operators import bm25, context, fusion, graph, knn, rerank, routing
 from sparkloom.operators import dataflow as flow
@@ -142,6 +144,18 @@ def test_knn_many_queries(spark, monkeypatch):
     assert sorted(knn.knn_batch(v, v, "id", "v", "id", "v", 3).collect()) == sorted(one)
 
 
+def test_routing_reads_patterns_as_its_sql(spark, tmp_path):
+    """Boundaries and classes are of ASCII, case is folded as RE2 does, whatever letters and spaces are around."""
+    texts = ["test\u00e4 f\u00fcr", "\u00e4test", "te\u017ft", "\u017fort\u017f", "chec\u212a it", "multipl\u0130ication", "\u00a0who calls a\u3000", "who\x0bcalls b", "explain a\rb\u2028c", "\u0130ssue: a b c d e", "config\u00df"]
+    spark.createDataFrame([(n, 0, "user", t) for n, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("query_expand", "route_intent", "route_type", "route_profile"):
+        got = registry.QUERIES[name](spark, str(tmp_path)).toPandas()
+        want = con.sql(registry.SQL[name]).df()
+        assert sorted(got.itertuples(index=False, name=None)) == sorted(want[list(got.columns)].itertuples(index=False, name=None))
+
+
 def test_parser():
     chunks, symbols, calls = parse.parse_text("app/reader.py", sample.FILES["app/reader.py"])
     by = {c["symbol_name"]: c for c in chunks}
