@@ -33,18 +33,24 @@ def chunk_ids_by_file(chunks: DataFrame, path: str) -> DataFrame:
 def chunks_by_qualified(names: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each ``name``: the chunk of its symbol in its file and class, else in its file, else of that simple name anywhere, else the file's first chunk.
 
-    One equi-join on the simple name and one on the file, stacked with a priority.
+    Chunks are first reduced to the best of each name, file and class, of each name and file, of
+    each name and of each file, so no join gives a row more than one; the least priority wins.
     """
     parts = F.split("name", r"\.")
-    wanted = names.select("name").distinct().join(symbols.select(F.col("qualified_name").alias("name"), "file_path"), "name", "left")
+    places = symbols.select(F.col("qualified_name").alias("name"), "file_path").distinct()
+    wanted = names.select("name").distinct().join(places, "name", "left")
     wanted = wanted.select("name", F.col("file_path").alias("_f"), F.element_at(parts, -1).alias("_n"), F.when(F.size(parts) > 1, F.element_at(parts, -2)).alias("_p"))
     c = chunks.select("id", "symbol_name", "parent_symbol", "file_path", "start_line")
-    here = F.col("file_path") == F.col("_f")
-    rank = F.when(here & F.col("parent_symbol").eqNullSafe(F.col("_p")), 0).when(here, 1).otherwise(2)
-    by_name = wanted.join(c, F.col("symbol_name") == F.col("_n")).select("name", "id", rank.alias("prio"), "file_path", "start_line")
-    by_file = wanted.join(c, here).select("name", "id", F.lit(3).alias("prio"), "file_path", "start_line")
-    best = by_name.unionByName(by_file).groupBy("name").agg(F.min_by(F.struct("id", "prio"), F.struct("prio", "file_path", "start_line", "id")).alias("b"))
-    return best.select("name", "b.id", "b.prio")
+    kinds = [["symbol_name", "file_path", "parent_symbol"], ["symbol_name", "file_path"], ["symbol_name"], ["file_path"]]
+    asked = {"symbol_name": F.col("_n"), "file_path": F.col("_f"), "parent_symbol": F.col("_p")}
+    out = wanted
+    for prio, keys in enumerate(kinds):
+        order = F.struct(F.lit(prio).alias("prio"), "file_path", "start_line", "id")
+        best = c.groupBy(*[F.col(x).alias(f"_k{x}") for x in keys]).agg(F.min(order).alias(f"_b{prio}"))
+        on = [F.col(f"_k{x}").eqNullSafe(asked[x]) if x == "parent_symbol" else F.col(f"_k{x}") == asked[x] for x in keys]
+        out = out.join(best, on, "left").drop(*[f"_k{x}" for x in keys])
+    found = out.select("name", F.coalesce(*[f"_b{prio}" for prio in range(len(kinds))]).alias("b")).filter("b IS NOT NULL")
+    return found.groupBy("name").agg(F.min("b").alias("b")).select("name", "b.id", "b.prio")
 
 
 def symbols_by_name(symbols: DataFrame, name: str, top_k: int = 10) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import tracemalloc
 
 import duckdb
@@ -156,6 +157,18 @@ def test_routing_reads_patterns_as_its_sql(spark, tmp_path):
         assert sorted(got.itertuples(index=False, name=None)) == sorted(want[list(got.columns)].itertuples(index=False, name=None))
 
 
+def test_lookup_of_many_names_in_one_file(spark):
+    """Time follows the names and chunks, not their product (400 million here)."""
+    k = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    symbols = k.select(F.concat(F.lit("f."), "k").alias("qualified_name"), F.lit("f").alias("file_path"))
+    chunks = k.select(F.concat(F.lit("c"), "k").alias("id"), F.when(F.col("k").cast("int") % 2 == 0, F.col("k")).alias("symbol_name"), F.lit("f").alias("parent_symbol"), F.lit("f").alias("file_path"), (F.col("k").cast("int") % 7).alias("start_line"))
+    began = time.monotonic()
+    got = lookup.chunks_by_qualified(symbols.select(F.col("qualified_name").alias("name")), chunks, symbols).toPandas()
+    assert time.monotonic() - began < 40
+    want = {f"f.{n}": (f"c{n}", 0) if n % 2 == 0 else ("c0", 3) for n in range(20_000)}
+    assert dict(zip(got["name"], zip(got["id"], got["prio"]))) == want
+
+
 def test_parser():
     chunks, symbols, calls = parse.parse_text("app/reader.py", sample.FILES["app/reader.py"])
     by = {c["symbol_name"]: c for c in chunks}
