@@ -1,7 +1,9 @@
 """Heuristic data flow in Python sources: parameters, outside inputs, validation, sanitising.
 
-Lines are exploded once; rules are a small fixed table of substrings, so each line meets
-them as a chain of literals rather than in a join.
+Texts are read once: those without any rule's word are passed over whole, the lines of the
+others are exploded, and what a rule may take is written for the joins that follow.  Rules are
+a small fixed table of substrings, so each line meets them as a chain of literals rather than
+in a join, and patterns only run where a substring was found.
 """
 
 from __future__ import annotations
@@ -10,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import contains_any
+from sparkloom.sources.tables import cut
 
 _KINDS = "cli_args:sys.argv env_vars:environ.get,os.environ,os.getenv http_request:request user_input:input"
 INPUTS = {p: k for k, ps in (x.split(":") for x in _KINDS.split()) for p in ps.split(",")}
 FULL = ["marshmallow", "pydantic", "validator", ".validate"]
 CLEANERS = ["bleach", "encode", "escape", "sanitize"]
 OUTSIDE = sorted(set(INPUTS.values()))
+TYPED = ["isinstance", "type(", "assert "]
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -37,7 +41,17 @@ def validated(line: Column) -> Column:
 
 
 def level(line: Column) -> Column:
-    return F.when(contains_any(line, FULL), "full").when(contains_any(line, ["isinstance", "type(", "assert "]), "type_check")
+    return F.when(contains_any(line, FULL), "full").when(contains_any(line, TYPED), "type_check")
+
+
+def marked(files: DataFrame) -> DataFrame:
+    """The lines that a rule may take: path, line_number, target (of an assignment), kinds of input in it, washes, var and level (of a validation)."""
+    line = F.col("line")
+    some = lines(files.filter(contains_any(F.col("content"), [*INPUTS, *FULL, *TYPED, *CLEANERS])))
+    kinds = F.array_distinct(F.filter(F.array(*[F.when(line.contains(p), F.lit(t)) for p, t in INPUTS.items()]), lambda x: x.isNotNull()))
+    moves = line.contains("=") & contains_any(line, [*INPUTS, *CLEANERS])
+    some = some.filter(moves | level(line).isNotNull())
+    return some.select("path", "line_number", F.when(moves, assign_target(line)).alias("target"), kinds.alias("kinds"), contains_any(line, CLEANERS).alias("washes"), F.when(level(line).isNotNull(), validated(line)).alias("var"), level(line).alias("level"))
 
 
 def nullable(annotation: Column) -> Column:
@@ -52,13 +66,12 @@ def flows(files: DataFrame, symbols: DataFrame) -> DataFrame:
         F.concat_ws(".", "qualified_name", "p.name").alias("source"), F.col("qualified_name").alias("sink"), F.lit("pass_through").alias("transform"), "file_path", "line_number",
         F.coalesce("p.type_annotation", F.lit("")).alias("type_at_source"), F.coalesce("return_type", F.lit("")).alias("type_at_sink"), nullable(F.col("p.type_annotation")).alias("nullable"),
     )
-    ln = lines(files)
-    kinds = F.array_distinct(F.filter(F.array(*[F.when(F.col("line").contains(p), F.lit(t)) for p, t in INPUTS.items()]), lambda x: x.isNotNull()))
-    ins = ln.withColumn("target", assign_target(F.col("line"))).filter("target IS NOT NULL").select("path", "line_number", "target", F.explode(kinds).alias("source"))
+    ln = cut(marked(files))
+    ins = ln.filter("target IS NOT NULL").select("path", "line_number", "target", F.explode("kinds").alias("source"))
     inputs = ins.select("source", F.concat_ws(":", "path", "target").alias("sink"), F.lit("input").alias("transform"), F.col("path").alias("file_path"), "line_number", F.lit("").alias("type_at_source"), F.lit("").alias("type_at_sink"), F.lit(True).alias("nullable"))
     edges = params.unionByName(inputs).withColumn("line_number", F.col("line_number").cast("int"))
-    checks = ln.select("path", "line_number", validated(F.col("line")).alias("var"), level(F.col("line")).alias("level")).filter("var IS NOT NULL AND level IS NOT NULL")
-    washes = ln.filter(contains_any(F.col("line"), CLEANERS)).select("path", assign_target(F.col("line")).alias("var")).filter("var IS NOT NULL").distinct()
+    checks = ln.filter("var IS NOT NULL AND level IS NOT NULL").select("path", "line_number", "var", "level")
+    washes = ln.filter("washes AND target IS NOT NULL").select("path", F.col("target").alias("var")).distinct()
     hit = F.contains(F.col("e.sink"), F.col("c.var")) | F.contains(F.col("e.source"), F.col("c.var"))
     on = lambda c: (F.col("e.file_path") == F.col("c.path")) & hit  # noqa: E731, ARG005
     keys = ["source", "sink", "transform", "file_path", "line_number"]

@@ -169,6 +169,17 @@ def test_lookup_of_many_names_in_one_file(spark):
     assert dict(zip(got["name"], zip(got["id"], got["prio"]))) == want
 
 
+def test_flows_read_texts_once(spark, tmp_path):
+    """Flows have the files' texts behind them: their plan reads what was found, not the texts again."""
+    rows = [("a.py", "x = input()\nassert y\nx.validate()\n"), ("b.py", "import os\n y: str = os.environ['Y']\r\ny = escape(y)"), ("c.py", "nothing = 1"), ("d.txt", "x = input()"), ("e.py", None)]
+    spark.createDataFrame(rows, "path string, content string").write.parquet(f"{tmp_path}/f")
+    none = spark.createDataFrame([], "qualified_name string, file_path string, line_number int, return_type string, symbol_type string, parameters array<struct<name: string, type_annotation: string>>")
+    found = flow.flows(spark.read.parquet(f"{tmp_path}/f"), none)
+    assert "content" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["source"], r["sink"], r["line_number"], r["validation_level"], r["sanitized"]) for r in found.collect()}
+    assert got == {("user_input", "a.py:x", 1, "full", False), ("env_vars", "b.py:y", 2, "none", True)}
+
+
 def test_parser():
     chunks, symbols, calls = parse.parse_text("app/reader.py", sample.FILES["app/reader.py"])
     by = {c["symbol_name"]: c for c in chunks}
